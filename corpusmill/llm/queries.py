@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import canonical, conversations, formatting, splitting, tokens
+from corpusmill.llm import canonical, conversations, formatting, residue, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -18,6 +18,16 @@ def p1_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return formatting.format_copies(table(spark, folder, "note_record")).where("first_id = note_id").select("note_id", "n_copies")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that are template residue, filler, an error page or a scripts notice."""
+    return residue.classify(table(spark, folder, "chunk_note")).where("reason is not null").select("chunk_id").distinct()
+
+
+def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that stay when residue is kept out."""
+    return residue.without_residue(table(spark, folder, "chunk_note")).select("chunk_id", "filename")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of the whole conversations."""
     return conversations.conversation_turns(*(table(spark, folder, t) for t in ("oc_session", "oc_message", "oc_part"))).select("session_id", "turn_no", "message_id")
@@ -48,7 +58,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids)}
 
 SQL = {
     "p6_found": "SELECT chunk_id FROM chunk_note WHERE length(body) > 2000 AND is_parent_index IS DISTINCT FROM true",
