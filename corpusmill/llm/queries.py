@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import canonical, conversations, formatting, residue, splitting, tokens
+from corpusmill.llm import canonical, conversations, formatting, leakage, residue, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -58,7 +58,12 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of held-out items."""
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids, p9_found)}
 
 SQL = {
     "p6_found": "SELECT chunk_id FROM chunk_note WHERE length(body) > 2000 AND is_parent_index IS DISTINCT FROM true",
