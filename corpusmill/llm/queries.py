@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import canonical, conversations, formatting, leakage, residue, splitting, tokens
+from corpusmill.llm import canonical, conversations, formatting, leakage, reading, residue, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -63,7 +63,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading level of every document with text."""
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "doc_label"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids, p9_found, p10_found)}
 
 SQL = {
     "p6_found": "SELECT chunk_id FROM chunk_note WHERE length(body) > 2000 AND is_parent_index IS DISTINCT FROM true",
