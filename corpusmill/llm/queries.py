@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import canonical, conversations, formatting, leakage, reading, residue, splitting, tokens
+from corpusmill.llm import canonical, conversations, formatting, leakage, near, reading, residue, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -18,6 +18,24 @@ def p1_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return formatting.format_copies(table(spark, folder, "note_record")).where("first_id = note_id").select("note_id", "n_copies")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of notes whose bodies are near-duplicates."""
+    return near.near_pairs(table(spark, folder, "note_record")).selectExpr("a as note_a", "b as note_b")
+
+
+def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs with their paths and scores, as in an earlier run's results."""
+    notes = table(spark, folder, "note_record").select("note_id", "rel")
+    pairs = near.near_pairs(table(spark, folder, "note_record"))
+    pairs = pairs.join(notes.selectExpr("note_id as a", "rel as from_rel"), "a").join(notes.selectExpr("note_id as b", "rel as to_rel"), "b")
+    return pairs.selectExpr("a as note_a", "b as note_b", "from_rel", "to_rel", "round(score, 6) as score")
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note's class of equal bodies, group of near-duplicates and number of links."""
+    return near.near_groups(table(spark, folder, "note_record"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that are template residue, filler, an error page or a scripts notice."""
     return residue.classify(table(spark, folder, "chunk_note")).where("reason is not null").select("chunk_id").distinct()
@@ -68,7 +86,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "doc_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_scores, p3_groups, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids, p9_found, p10_found)}
 
 SQL = {
     "p6_found": "SELECT chunk_id FROM chunk_note WHERE length(body) > 2000 AND is_parent_index IS DISTINCT FROM true",
