@@ -45,17 +45,30 @@ def han_first(s: Column) -> Column:
     return F.concat(han(s), latin(s))
 
 
+def _windows(flat: Column, k: int) -> Column:
+    """Every window of ``k`` characters, in order; shorter texts have none. Arrays are zipped, so the work is linear in the text."""
+    chars = F.filter(F.split(flat, ""), lambda c: c != "")
+    out = chars
+    for i in range(1, k):
+        out = F.zip_with(out, F.slice(chars, i + 1, 1 << 30), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat(a, b)))
+    return F.filter(out, lambda x: x.isNotNull())
+
+
 def char_pairs(s: Column) -> Column:
     """Pairs of neighbouring characters of the lower-case text, runs of white space as one blank."""
-    flat = F.regexp_replace(F.lower(F.trim(s)), r"\s+", " ")
-    return F.when(F.char_length(flat) < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(flat) - 1, F.lit(1))), lambda i: F.substring(flat, i, F.lit(2))))
+    return _windows(F.regexp_replace(F.lower(F.trim(s)), r"\s+", " "), 2)
 
 
 def shingles(s: Column, k: int = 5) -> Column:
     """Distinct windows of ``k`` characters of the text without white space; the whole text where it is shorter, none where it is empty."""
     flat = F.regexp_replace(s, r"\s+", "")
     n = F.char_length(flat)
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= k, F.array(flat)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(flat, i, F.lit(k)))))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n <= k, F.array(flat)).otherwise(F.array_distinct(_windows(flat, k)))
+
+
+def strip(s: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(s, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
 def token_count(s: Column) -> Column:
@@ -181,13 +194,15 @@ def nfkc(s: Column) -> Column:
 def entropy(s: Column) -> Column:
     """Shannon entropy of the characters by the logarithm of how many differ; 0 for texts with fewer than two different ones.
 
-    Characters are sorted, so that equal ones are runs; the sum goes over the runs' lengths.
+    Characters are sorted, so that equal ones are runs of some length k. With n
+    characters the entropy is ``log2 n`` less the mean of ``log2 k``; only the runs
+    are added up, one step a character.
     """
     chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
-    n = F.size(chars)
-    kinds = F.size(F.array_distinct(chars))
-    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("h"))
-    plogp = lambda k: F.when(k > 0, k / n * F.log2(k / n)).otherwise(F.lit(0.0))
-    step = lambda a, c: F.struct(c.alias("c"), F.when(c == a["c"], a["k"] + 1).otherwise(F.lit(1.0)).alias("k"), (a["h"] + F.when(c == a["c"], F.lit(0.0)).otherwise(plogp(a["k"]))).alias("h"))
-    total = F.aggregate(chars, start, step, lambda a: a["h"] + plogp(a["k"]))
-    return F.when(kinds <= 1, F.lit(0.0)).otherwise(-total / F.log2(kinds))
+    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("h"), F.lit(0.0).alias("n"), F.lit(0.0).alias("kinds"))
+    klogk = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(F.lit(0.0))
+    step = lambda a, c: F.struct(
+        c.alias("c"), F.when(c == a["c"], a["k"] + 1).otherwise(F.lit(1.0)).alias("k"), (a["h"] + F.when(c == a["c"], F.lit(0.0)).otherwise(klogk(a["k"]))).alias("h"),
+        (a["n"] + 1).alias("n"), (a["kinds"] + F.when(c == a["c"], F.lit(0.0)).otherwise(F.lit(1.0))).alias("kinds"))
+    last = lambda a: F.when(a["kinds"] <= 1, F.lit(0.0)).otherwise((F.log2(a["n"]) - (a["h"] + klogk(a["k"])) / a["n"]) / F.log2(a["kinds"]))
+    return F.aggregate(chars, start, step, last)
