@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HAN = "[一-鿿]"
 NOT_HAN = "[^一-鿿]"
@@ -178,9 +180,6 @@ def parse_tags(s: Column) -> Column:
 
 def nfkc(s: Column) -> Column:
     """Unicode NFKC with runs of blanks as one, trimmed. Spark has no such function; batches go through Arrow."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
     def apply(x: pd.Series) -> pd.Series:
         import re
