@@ -27,9 +27,10 @@ def pattern(limit: int, overlap: int) -> str:
 def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     """The pieces of ``text`` as an array; null for null, one piece for a text within ``limit``."""
     cores = F.regexp_extract_all(text, F.lit(pattern(limit, overlap)), F.lit(0))
-    with_overlap = F.transform(
-        cores, lambda c, i: F.when(i > 0, F.concat(F.substring(F.element_at(cores, F.greatest(i, F.lit(1))), -overlap, overlap), c)).otherwise(c)
-    )
+    # zipped with the core before it, so that the expression runs twice in all and not once a piece
+    before = F.concat(F.array(F.lit("")), cores)
+    joined = F.zip_with(cores, before, lambda c, b: F.when(c.isNotNull(), F.concat(F.substring(b, -overlap, overlap), c)))
+    with_overlap = F.filter(joined, lambda x: x.isNotNull())
     return F.when(F.char_length(text) <= limit, F.array(text)).otherwise(with_overlap)
 
 
