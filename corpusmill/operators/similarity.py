@@ -1,4 +1,4 @@
-"""Exact similarity joins without comparing every pair.
+"""Similarity joins without comparing every pair.
 
 Both joins order the elements of a set or vector from the rarest to the most
 frequent in the corpus and keep a prefix: so much that two rows that are
@@ -9,9 +9,19 @@ join key unless a row has nothing else.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.tables import cut
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` by ``key`` in as many partitions as the session shuffles into: the rows are few and their pairs many, so that partitions merged by the size of the rows would leave the pairs to a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
 
 def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFrame:
     """``a, b, shared, jaccard, containment`` of every pair of rows with Jaccard at least ``least``; ``a < b``.
@@ -19,7 +29,7 @@ def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFr
     ``items`` is an array without repeats (of hashes, best). Rows with a null or
     empty set have no pairs; ids have to be unique. Containment is by the smaller set.
     """
-    s = sets.select(F.col(row).alias("id"), F.col(items).alias("s")).where(F.size("s") > 0)
+    s = cut(sets.select(F.col(row).alias("id"), F.col(items).alias("s")).where(F.size("s") > 0))
     each = s.select("id", F.size("s").alias("n"), F.explode("s").alias("x"))
     freq = each.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
     # an element that stands in one row only joins nothing, but still takes its place in the order: before all others
@@ -28,6 +38,7 @@ def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFr
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
     length = F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1
     prefix = ranked.withColumn("at", F.row_number().over(w) + alone).where(F.col("at") <= length).select("id", "n", "x")
+    prefix = spread(prefix, "x")
     p, q = prefix.alias("p"), prefix.alias("q")
     fits = (F.col("p.n") >= F.round(F.col("q.n") * least, 9)) & (F.col("q.n") >= F.round(F.col("p.n") * least, 9))
     met = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.id") < F.col("q.id")) & fits).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
@@ -36,21 +47,71 @@ def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFr
     return both.where(F.col("jaccard") >= least).select("a", "b", F.col("shared").cast("long").alias("shared"), "jaccard", (F.col("shared") / F.least(F.size("sa"), F.size("sb"))).alias("containment"))
 
 
+#: Bits of the sketch that every joined row carries.
+BITS = 256
+
+
+def sketches(weights: DataFrame) -> DataFrame:
+    """``doc, bits``: the sides of 256 random planes that each vector of ``doc, term, w`` lies on, as four bigints. The planes are hashes of the terms."""
+
+    def run(batches: Iterator) -> Iterator:
+        from statistics import NormalDist
+
+        import numpy as np
+        import pyarrow as pa
+
+        # a plane's coordinate for a term is the normal quantile of a byte of the term's hashes
+        normal = np.array([NormalDist().inv_cdf((k + 0.5) / 256) for k in range(256)], np.float32)
+        seeds = np.random.default_rng(11).integers(0, 1 << 63, BITS // 8, dtype=np.uint64)
+        for batch in batches:
+            docs, rows = batch.column(0), []
+            lists = batch.column(1)
+            for i in range(len(lists)):
+                v = lists[i].values
+                h = v.field(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None] ^ seeds[None, :]
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h ^= h >> np.uint64(31)
+                w = v.field(1).to_numpy(zero_copy_only=False).astype(np.float32)
+                side = np.zeros(BITS, np.float32)
+                for start in range(0, len(h), 4096):
+                    side += w[start : start + 4096] @ normal[h[start : start + 4096].view(np.uint8).reshape(-1, BITS)]
+                rows.append(np.packbits(side > 0).view(">i8").astype(np.int64))
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (BITS // 64)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([docs, bits], names=["doc", "bits"])
+
+    vectors = weights.groupBy("doc").agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").cast("double").alias("w"))).alias("v"))
+    kind = dict(weights.dtypes)["doc"]
+    return vectors.mapInArrow(run, f"doc {kind}, bits array<bigint>")
+
+
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     """``a, b, cosine`` of every pair of documents with cosine at least ``least`` (above 0); ``a < b``.
 
     ``weights`` has ``doc, term, w`` with one row a term and positive weights; the
     vectors are normalised here. A suffix whose norm is below ``least`` cannot
-    carry a pair alone, so the prefix ends where the rest's norm falls below it.
+    carry a pair alone, so the prefix ends where the rest's norm falls below it;
+    and at the first term that a pair shares, both rests together have to be able
+    to carry it. Every row of the join has its document's sketch with it, and
+    pairs whose sketches are further apart than 4.5 standard deviations beyond
+    what ``least`` leads to expect (three pairs in a million at ``least`` itself) go
+    no further, so that frequent terms cost comparisons and no shuffled pairs.
     """
     norm = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    v = weights.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+    v = cut(weights.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w")))
     freq = v.groupBy("term").agg(F.count("*").alias("df"))
     order = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     rest = 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order), F.lit(0.0))
-    prefix = v.join(freq, "term").withColumn("rest", rest).where((F.col("rest") >= least * least - 1e-9) & (F.col("df") > 1)).select("doc", "term")
+    prefix = v.join(freq, "term").withColumn("rest", rest).where((F.col("rest") >= least * least - 1e-9) & (F.col("df") > 1)).select("doc", "term", "rest")
+    prefix = prefix.join(sketches(v), "doc").select("doc", "term", "rest", *(F.element_at("bits", i + 1).alias(f"s{i}") for i in range(BITS // 64)))
+    prefix = spread(prefix, "term")
     p, q = prefix.alias("p"), prefix.alias("q")
-    met = p.join(q, (F.col("p.term") == F.col("q.term")) & (F.col("p.doc") < F.col("q.doc"))).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
+    chance = math.acos(least) / math.pi
+    most = int(BITS * chance + 4.5 * math.sqrt(BITS * chance * (1 - chance))) + 1
+    apart = sum((F.bit_count(F.col(f"p.s{i}").bitwiseXOR(F.col(f"q.s{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col("p.s0").bitwiseXOR(F.col("q.s0"))))
+    carried = F.col("p.rest") * F.col("q.rest") >= least * least - 1e-9
+    met = p.join(q, (F.col("p.term") == F.col("q.term")) & (F.col("p.doc") < F.col("q.doc")) & carried & (apart <= most)).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
     left = met.join(v.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")), "a")
     dots = left.join(v.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return dots.where(F.col("cosine") >= least)
