@@ -88,6 +88,25 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p3_found, p3_scores, p3_groups, p4_found, p4_kept, p5_found, p5_texts, p6_found, p6_pieces, p7_found, p8_ids, p9_found, p10_found)}
 
+_WINDOWS = """t AS (SELECT note_id AS id, regexp_replace(lower(body), '[\\s\\x0b\\x{85}\\p{Z}]+', '', 'g') AS f FROM note_record WHERE body IS NOT NULL),
+w AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5))) AS x FROM t WHERE length(f) > 200),
+n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+k AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM w p JOIN w q ON p.x = q.x AND p.id < q.id GROUP BY 1, 2),
+near AS (SELECT a, b, k / (na.n + nb.n - k) AS score FROM k JOIN n na ON a = na.id JOIN n nb ON b = nb.id WHERE k / (na.n + nb.n - k) >= 0.7)"""
+_TURNS = """m AS (SELECT DISTINCT id, session_id AS s, time_created AS t, data FROM oc_message WHERE session_id IS NOT NULL),
+p AS (SELECT DISTINCT id, message_id, session_id AS s, data FROM oc_part),
+pj AS (SELECT *, CASE WHEN json_valid(data) THEN json_type(data) = 'OBJECT' ELSE false END AS whole, CASE WHEN json_valid(data) THEN data END AS j FROM p),
+spoken AS (SELECT message_id, bool_or(coalesce(json_extract_string(j, '$.type') = 'text' AND regexp_matches(json_extract_string(j, '$.text'), '[^\\s\\x0b\\x{85}\\p{Z}]'), false)) AS text FROM pj GROUP BY message_id),
+mj AS (SELECT m.id, s, t, CASE WHEN json_valid(data) THEN json_type(data) = 'OBJECT' ELSE false END AS whole, nullif(lower(json_extract_string(CASE WHEN json_valid(data) THEN data END, '$.role')), '') AS role, coalesce(text, false) AS text FROM m LEFT JOIN spoken ON message_id = m.id),
+bad AS (SELECT s FROM mj WHERE NOT whole OR role IS NULL OR (role = 'user' AND NOT text) UNION SELECT s FROM pj WHERE NOT whole AND s IS NOT NULL UNION SELECT s FROM mj WHERE s NOT IN (SELECT id FROM oc_session WHERE id IS NOT NULL)),
+turn AS (SELECT s, id, role, row_number() OVER w AS n, lead(role) OVER w AS following FROM mj WHERE role IN ('user', 'assistant') AND text WINDOW w AS (PARTITION BY s ORDER BY t, id)),
+good AS (SELECT s FROM turn GROUP BY s HAVING bool_and(n > 1 OR role = 'user') AND NOT bool_or(role = 'user' AND coalesce(following, 'user') = 'user'))"""
+_BARE = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
 SQL = {
+    "p3_found": "WITH " + _WINDOWS + " SELECT a AS note_a, b AS note_b FROM near",
+    "p3_scores": "WITH " + _WINDOWS + " SELECT a AS note_a, b AS note_b, x.rel AS from_rel, y.rel AS to_rel, round(score, 6) AS score FROM near JOIN note_record x ON a = x.note_id JOIN note_record y ON b = y.note_id",
+    "p5_found": "WITH " + _TURNS + " SELECT s AS session_id, n AS turn_no, id AS message_id FROM turn SEMI JOIN good USING (s) WHERE s NOT IN (SELECT s FROM bad)",
     "p6_found": "SELECT chunk_id FROM chunk_note WHERE length(body) > 2000 AND is_parent_index IS DISTINCT FROM true",
+    "p9_found": "WITH i AS (SELECT item_id, " + _BARE.format(x="passage") + " AS f FROM eval_item), g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(f) - 38), lambda k: substr(f, k, 40))) AS x FROM i WHERE length(f) >= 40), d AS (SELECT doc_id, " + _BARE.format(x="text") + " AS f FROM documents), h AS (SELECT doc_id, unnest(list_transform(range(1, length(f) - 38), lambda k: substr(f, k, 40))) AS x FROM d WHERE length(f) >= 40) SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (x)",
 }
