@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Sources in which a message without a kind has to recur to count as page furniture.
 RECURRING = 5
+#: A longer line is content unless it is filler; no message that recurs is so long.
+LONG = 300
+#: What a placeholder has in it; other lines aren't searched for one.
+MARKS = r"[{$%@<【«‹⟨⟦〈\[]|__|&lt;"
 
 # Words that templates use for their fields.
 FIELDS = (
@@ -85,16 +89,18 @@ def outside_code(body: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """A line in lower case with addresses, dates, hexadecimal names and numbers masked."""
-    out = F.regexp_replace(F.lower(F.trim(line)), r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b", "<a>")
+    low = F.lower(F.trim(line))
+    out = F.regexp_replace(low, r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b", "<a>")
     out = F.regexp_replace(out, r"\b\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?|\b\d{1,2}:\d{2}(?::\d{2})?\b", "<d>")
-    return F.regexp_replace(F.regexp_replace(out, r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b", "<h>"), r"\d+", "0")
+    out = F.regexp_replace(F.regexp_replace(out, r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b", "<h>"), r"\d+", "0")
+    return F.when(low.rlike(r"[0-9@]|www\.|://"), out).otherwise(low)
 
 
 def kind(line: Column) -> Column:
     """notice, filler, empty, head, furniture, label, matter, or message where no rule says."""
     bare = F.regexp_replace(line, r"^#+\s+", "")
     return (
-        F.when(line.rlike(MATTER), "matter").when((F.char_length(line) <= 300) & bare.rlike(NOTICE), "notice").when(line.rlike(EMPTY), "empty").when(line.rlike(FILLER), "filler")
+        F.when(line.rlike(MATTER), "matter").when(F.char_length(line) > LONG, F.when(line.rlike(FILLER), "filler").otherwise("matter")).when(bare.rlike(NOTICE), "notice").when(line.rlike(EMPTY), "empty").when(line.rlike(FILLER), "filler")
         .when(line.rlike(r"^#{1,6}\s"), "head").when(line.rlike(FURNITURE), "furniture").when(line.rlike(_LABEL) & (F.size(F.split(F.trim(line), r"\s+")) <= 3), "label").otherwise("message")
     )
 
@@ -118,13 +124,15 @@ def classify(notes: DataFrame, note_id: str = "chunk_id", filename: str = "filen
     stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split("f", r"/(?![^<>]*>)"), -1), r"\.\w{1,5}$", ""), r"-(?:[cp]\d+|index)$", "")
     bare = outside_code(F.col("b"))
     lines = F.filter(F.split(bare, "\n"), lambda x: x.rlike(r"\S"))
-    judged = F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), F.xxhash64(masked(x)).alias("h")))
-    n = n.select("id", F.coalesce(stem.rlike(BAD_NAME), F.lit(False)).alias("bad_name"), F.coalesce(bare.rlike(PLACEHOLDER), F.lit(False)).alias("bad_body"), judged.alias("l"))
+    # a body with a line of content can't be residue as a whole: its lines are looked at no further
+    content = F.exists(lines, lambda x: x.rlike(MATTER) | ((F.char_length(x) > LONG) & ~x.rlike(FILLER)))
+    judged = F.when(~content, F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), F.xxhash64(masked(x)).alias("h"))))
+    n = n.select("id", F.coalesce(stem.rlike(BAD_NAME), F.lit(False)).alias("bad_name"), F.coalesce(F.exists(lines, lambda x: x.rlike(MARKS) & x.rlike(PLACEHOLDER)), F.lit(False)).alias("bad_body"), judged.alias("l"))
     has = lambda *k: F.exists("l", lambda x: x["kind"].isin(*k))
     n = n.withColumn("stands", F.coalesce(has("notice", "filler", "empty") & ~has("matter"), F.lit(False)))
     n = n.withColumn("doubt", F.when(F.col("stands"), F.array_distinct(F.transform(F.filter("l", lambda x: x["kind"] == "message"), lambda x: x["h"]))))
     # messages without a kind that recur across sources
-    every = notes.select(F.coalesce(source, filename).alias("s"), F.explode(F.filter(F.split(outside_code(F.col(body)), "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(MATTER) & (F.char_length(x) <= 300))).alias("line"))
+    every = notes.select(F.coalesce(source, filename).alias("s"), F.explode(F.filter(F.split(outside_code(F.col(body)), "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(MATTER) & (F.char_length(x) <= LONG))).alias("line"))
     every = every.select(F.xxhash64("s").alias("s"), F.xxhash64(masked(F.col("line"))).alias("h")).distinct()
     spread = every.groupBy("h").agg(F.count("*").alias("sources")).where(F.col("sources") >= recurring).select("h")
     sure = n.where(F.coalesce(F.size("doubt"), F.lit(0)) < 1)
