@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def vault(spark: SparkSession, root: str, skip: tuple[str, ...] = (".git", ".kb", ".obsidian", "node_modules")) -> DataFrame:
+def vault(spark: SparkSession, root: str, skip: tuple[str, ...] = (".git", "node_modules")) -> DataFrame:
     """``rel, text, mtime`` of every Markdown file below ``root``, outside directories named in ``skip``; bytes that are no UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
