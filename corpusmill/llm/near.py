@@ -52,8 +52,9 @@ def fingerprints(texts: DataFrame, window: int = WINDOW, segments: int = SEGMENT
 
         n = segments * symbols
         rng = np.random.default_rng(20)
-        times = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        plus = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        # 32 bits, which processors multiply and compare in vectors
+        times = rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        plus = rng.integers(0, 1 << 32, n, dtype=np.uint32)
         place = rng.integers(0, 1 << 63, (segments, symbols), dtype=np.uint64)
 
         def mix(x):  # noqa: ANN001, ANN202
@@ -68,11 +69,11 @@ def fingerprints(texts: DataFrame, window: int = WINDOW, segments: int = SEGMENT
                 h = np.zeros(max(len(codes) - window + 1, 1), np.uint64)
                 for k in range(min(window, len(codes))):
                     h = h * np.uint64(0x100000001B3) + codes[k : k + len(h)] if len(codes) >= window else h * np.uint64(0x100000001B3) + codes[k]
-                h = mix(np.unique(h))
-                least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+                h = np.unique((mix(h) >> np.uint64(32)).astype(np.uint32))
+                least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
                 for start in range(0, len(h), 2048):
                     least = np.minimum(least, (times[:, None] * h[None, start : start + 2048] + plus[:, None]).min(axis=1))
-                symbol = mix(least).reshape(segments, symbols)
+                symbol = mix(least.astype(np.uint64) + np.uint64(1)).reshape(segments, symbols)
                 bits.append(np.packbits((symbol & np.uint64(1)).astype(np.uint8).ravel()).view(">i8").astype(np.int64))
                 g = mix(symbol ^ place)
                 keys.append(mix(g.sum(axis=1, keepdims=True, dtype=np.uint64) - g + place).ravel().view(np.int64))
