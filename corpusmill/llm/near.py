@@ -71,8 +71,8 @@ def fingerprints(texts: DataFrame, window: int = WINDOW, segments: int = SEGMENT
                     h = h * np.uint64(0x100000001B3) + codes[k : k + len(h)] if len(codes) >= window else h * np.uint64(0x100000001B3) + codes[k]
                 h = np.unique((mix(h) >> np.uint64(32)).astype(np.uint32))
                 least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
-                for start in range(0, len(h), 2048):
-                    least = np.minimum(least, (times[:, None] * h[None, start : start + 2048] + plus[:, None]).min(axis=1))
+                for start in range(0, len(h), 512):  # fits the cache
+                    least = np.minimum(least, (times[:, None] * h[None, start : start + 512] + plus[:, None]).min(axis=1))
                 symbol = mix(least.astype(np.uint64) + np.uint64(1)).reshape(segments, symbols)
                 bits.append(np.packbits((symbol & np.uint64(1)).astype(np.uint8).ravel()).view(">i8").astype(np.int64))
                 g = mix(symbol ^ place)
