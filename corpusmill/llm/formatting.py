@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.tables import cut
+
 #: A line ``key: value``: a list mark, a key of at most 30 characters, a colon, a value.
 CARD_LINE = r"^\s*(?:[-*+•·]\s+)?(?=[^\s:：])([^:：\n]{1,30}?)\s*[:：]\s*\S"
 CARD_KEY = r"^\s*(?:[-*+•·]\s+)?([^:：\n]{1,30}?)\s*[:：]"
@@ -76,7 +78,8 @@ def format_copies(records: DataFrame, record_id: str = "note_id", columns: tuple
     A hot group costs one row a map task in the aggregate; the join that brings
     its first id back streams over it and may be split where it is skewed.
     """
-    tuples = encoded(records, record_id, list(columns), list(structured)).distinct()
+    # used twice: written to the shared folder, so that the texts are shuffled and canonicalised once
+    tuples = cut(encoded(records, record_id, list(columns), list(structured)).distinct())
     groups = tuples.where("t is not null").groupBy("t").agg(F.min("_id").alias("first_id"), F.count("*").alias("n_copies"))
     groups = groups.where("n_copies > 1")
     return tuples.join(groups, "t", "left").select(
