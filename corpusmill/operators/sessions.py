@@ -25,8 +25,8 @@ def clean_actor(name: Column) -> Column:
 
 
 def micros(at: Column) -> Column:
-    """Microseconds since 1970 of a timestamp, read as UTC where it has no zone."""
-    return F.unix_micros(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()))
+    """Microseconds since 1970 of a timestamp's clock time read as UTC: the same in every session zone for one without a zone."""
+    return F.unix_micros(F.concat(at.cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp"))
 
 
 def sessions(events: DataFrame, actor: str, at: str, event_id: str | None = None, gap_seconds: int = GAP_SECONDS) -> DataFrame:

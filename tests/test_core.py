@@ -54,6 +54,16 @@ def test_sessions_random_against_scan(spark):
     assert got == sorted(((s, f(r[0]), f(r[-1]), len(r)) for s, r in want), key=str)
 
 
+def test_sessions_in_another_zone(spark):
+    rows = [("a", 0, 1), ("a", 1800, 2), ("a", 86_400 * 30 + 5, 3)]
+    want = rows_of(sessions(ev(spark, rows), "sender", "ts", "id"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows_of(sessions(ev(spark, rows), "sender", "ts", "id")) == want and want[0][1] == "2024-03-01 10:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_sessions_empty(spark):
     assert sessions(ev(spark, []), "sender", "ts").collect() == []
 
