@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
@@ -13,7 +13,7 @@ from corpusmill.operators import temporal as T
 from corpusmill.operators.sessions import micros, sessions
 from corpusmill.plans import sqltext as S
 from corpusmill.plans.retrieval import note_text, notes_index
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import cut, table
 
 DAY = 86_400_000_000
 
@@ -68,15 +68,40 @@ def set_likeness(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("from_rel", "to_rel", r(i, u).alias("jaccard"), r(2 * i, F.size("a") + F.size("b")).alias("dice"), r(i, F.size("a")).alias("recall"))
 
 
+#: Words that say that something has changed.
+CHANGE = (
+    "改为", "改成", "换成", "替换为", "不再是", "已经不用", "停止使用", "改为使用", "修正为", "更正为", "已废弃", "已停用", "弃用", "作废", "废弃", "停用", "推翻", "取代", "纠正", "误判", "有误", "错了", "过时",
+    "superseded", "deprecated", "no longer", "replaced by", "changed to")
+
+
+def _conclusions(body: Column) -> Column:
+    """The text below the second-level headings that begin with a word for conclusions; the whole body where there is none."""
+    sections = F.filter(F.split(body, r"(?m)^(?=##[^\S\r\n]+\S)"), lambda x: x.rlike(r"^##[^\S\r\n]+(?:结论|决定|要点|现象|根因)"))
+    text = F.array_join(F.transform(sections, lambda x: F.regexp_replace(x, r"^[^\r\n]*", "")), "\n")
+    return F.when(X.strip(text) != "", text).otherwise(body)
+
+
 def contradiction_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of one domain with alike summaries of which one has a word of change: the older and the newer one."""
-    n = _notes(spark, folder).where("kb_summary is not null and domain is not null").select(
-        "note_id", "domain", F.coalesce("updated", "created").alias("day"), F.col("kb_summary").rlike(r"(?i)\b(?:no longer|replaced|instead|cancelled|changed)\b|不再|替换|改为|取消").alias("change"), J.hashed(X.unigrams(F.col("kb_summary"))).alias("s"))
-    p = J.jaccard_pairs(n, "note_id", "s", 0.5)
-    side = lambda k: n.select(*(F.col(c).alias(k if c == "note_id" else f"{c}_{k}") for c in ("note_id", "domain", "day", "change")))
-    p = p.join(side("a"), "a").join(side("b"), "b").where("domain_a = domain_b and (change_a or change_b)")
-    first = (F.coalesce("day_a", F.lit("9999-12-31").cast("date")) < F.coalesce("day_b", F.lit("9999-12-31").cast("date"))) | ((F.coalesce("day_a", F.lit("9999-12-31").cast("date")) == F.coalesce("day_b", F.lit("9999-12-31").cast("date"))) & (F.col("a") < F.col("b")))
-    return p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer"), F.round("jaccard", 6).alias("jaccard"), F.when(F.col("jaccard") >= 0.85, "same").otherwise("changed").alias("kind"))
+    """Canon notes of one domain (or with none) whose conclusions have Jaccard 0.25 or more and of which one's have a word of change: the older and the newer one.
+
+    The table has neither parents nor source references, so notes of one family or source are not told apart.
+    Every note with a word of change meets each of its domain once: at 0.25 a prefix would hold three quarters of the tokens.
+    """
+    n = _notes(spark, folder).where("lower(trim(kb_layer)) = 'canon' and body is not null").select(
+        "note_id", F.nullif(X.strip(F.col("domain")), F.lit("")).alias("domain"), F.coalesce("updated", "created", F.lit("9999-12-31").cast("date")).alias("day"), _conclusions(F.col("body")).alias("t"))
+    n = cut(n.select("note_id", "domain", "day", F.exists(F.array(*map(F.lit, CHANGE)), lambda w: F.contains(F.lower("t"), w)).alias("change"), J.hashed(X.tokens(F.col("t"))).alias("s")).where("size(s) > 0"))
+    own = F.concat(F.lit("="), "domain")
+    # a note with a domain meets those of its domain and those without; one without meets all
+    x = n.where("change").withColumn("key", F.explode(F.when(F.col("domain").isNull(), F.array(F.lit("all"))).otherwise(F.array(own, F.lit("none")))))
+    y = n.withColumn("key", F.explode(F.array(F.coalesce(own, F.lit("none")), F.lit("all"))))
+    p, q = J.spread(x, "key").alias("p"), J.spread(y, "key").alias("q")
+    once = (F.col("p.note_id") != F.col("q.note_id")) & (~F.col("q.change") | (F.col("p.note_id") < F.col("q.note_id")))
+    shared = F.size(F.array_intersect("p.s", "q.s"))
+    jaccard = shared / (F.size("p.s") + F.size("q.s") - shared)
+    first = F.struct("p.day", "p.note_id") < F.struct("q.day", "q.note_id")
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & once).select(
+        F.when(first, F.col("p.note_id")).otherwise(F.col("q.note_id")).alias("older"), F.when(first, F.col("q.note_id")).otherwise(F.col("p.note_id")).alias("newer"), jaccard.alias("jaccard")).where("jaccard >= 0.25")
+    return met.select("older", "newer", F.round("jaccard", 6).alias("jaccard"), F.when(F.col("jaccard") >= 0.85, "same").otherwise("changed").alias("kind"))
 
 
 def _claims(spark: SparkSession, folder: str) -> DataFrame:
