@@ -42,3 +42,20 @@ def test_contradictions_are_looked_for_in_conclusions_of_bodies(run):
     assert set(found) == {(2, 1), (1, 3), (6, 7)}
     assert found[2, 1] == (round(10 / 17, 6), "changed")
     assert found[6, 7] == (round(1900 / 2002, 6), "same")
+
+
+HITS = [
+    {"note_id": 1, "kb_summary": "x" * 70 + " rare", "body": "one"},
+    {"note_id": 2, "kb_summary": "  ", "body": "\n  # other words \nrest"},
+    {"note_id": 3, "body": "rare"},
+    {"note_id": 4, "body": "y" * 78 + " z other"},
+    {"note_id": 5, "body": "\n "},
+]
+
+
+def test_whole_summaries_and_first_lines_are_asked(run):
+    assert {tuple(r) for r in run("summary_hits", HITS)} == {(3, 1), (4, 1)}
+
+
+def test_importance_is_raised_by_whole_summaries(run):
+    assert [tuple(r) for r in run("importance_bumps", HITS)] == [(3, 1, 0.55, 0.05), (4, 1, 0.55, 0.05)]
