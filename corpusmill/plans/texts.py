@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.operators import quality as Q
+from corpusmill.operators import similarity as J
 from corpusmill.plans import sqltext as S
+from corpusmill.plans.relations import _weights as weights
 from corpusmill.sources.tables import table
 
 AS_OF = "2026-01-01"
@@ -124,10 +126,12 @@ def ingest_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def triage_score(spark: SparkSession, folder: str) -> DataFrame:
-    """The triage score of every note, not counting likeness to others."""
+    """The triage score of every note; its likeness to others is the largest tf-idf cosine, from 0.70 on."""
     required = [F.col(c) for c in ("title", "domain", "status", "author", "content_type", "kb_layer", "kb_summary", "created", "updated")]
-    s = Q.triage_score(F.col("body"), required, F.lit(None).cast("double"), ["复盘", "方案", "原理", "决定", "because", "runbook"])
-    return _notes(spark, folder).where("body is not null").select("note_id", s.cast("long").alias("score"))
+    s = Q.triage_score(F.col("body"), required, F.col("similarity"), ["复盘", "方案", "原理", "决定", "because", "runbook"])
+    p = J.cosine_pairs(weights(spark, folder), 0.70)
+    best = p.select(F.explode(F.array("a", "b")).alias("note_id"), "cosine").groupBy("note_id").agg(F.round(F.max("cosine"), 7).alias("similarity"))
+    return _notes(spark, folder).where("body is not null").join(best, "note_id", "left").select("note_id", s.cast("long").alias("score"))
 
 
 def query_filters(spark: SparkSession, folder: str) -> DataFrame:

@@ -59,3 +59,16 @@ def test_whole_summaries_and_first_lines_are_asked(run):
 
 def test_importance_is_raised_by_whole_summaries(run):
     assert [tuple(r) for r in run("importance_bumps", HITS)] == [(3, 1, 0.55, 0.05), (4, 1, 0.55, 0.05)]
+
+
+def test_likeness_takes_points_of_the_triage_score(run):
+    alike = words(*range(1, 21))
+    notes = [
+        {"note_id": 1, "body": alike},
+        {"note_id": 2, "body": alike},
+        {"note_id": 3, "body": f"{alike} {words(*range(300, 305))}"},
+        {"note_id": 4, "body": words(*range(400, 420))},
+        {"note_id": 5, "title": alike},
+    ]
+    scores = {r.note_id: r.score for r in run("triage_score", notes)}
+    assert scores == {1: 30, 2: 30, 3: 40, 4: 55}
