@@ -209,13 +209,14 @@ def tag_cohesion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def link_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Alike notes with the signals for a link between them: shared tags, same author, likeness; kept with two signals of which one is structural."""
+    """Alike notes with the signals for a link between them: shared tags, same author, shared link targets, likeness; kept with two signals of which one is structural."""
     p = J.cosine_pairs(_weights(spark, folder), 0.70)
-    n = _notes(spark, folder).select("note_id", "author", F.coalesce(F.array_compact("tags"), F.array().cast("array<string>")).alias("tags"))
-    p = p.join(n.select(F.col("note_id").alias("a"), F.col("author").alias("aa"), F.col("tags").alias("ta")), "a").join(n.select(F.col("note_id").alias("b"), F.col("author").alias("ab"), F.col("tags").alias("tb")), "b")
+    n = _notes(spark, folder).select("note_id", "author", F.coalesce(F.array_compact("tags"), F.array().cast("array<string>")).alias("tags"), F.coalesce(X.wiki_targets(F.col("body")), F.array().cast("array<string>")).alias("out"))
+    side = lambda k: n.select(F.col("note_id").alias(k), F.col("author").alias(f"a{k}"), F.col("tags").alias(f"t{k}"), F.col("out").alias(f"o{k}"))
+    p = p.join(side("a"), "a").join(side("b"), "b")
     tag, author, near = F.arrays_overlap("ta", "tb"), F.coalesce(F.col("aa") == F.col("ab"), F.lit(False)), F.round("cosine", 5) >= 0.75
-    p = p.select("a", "b", tag.alias("shares_tag"), author.alias("same_author"), near.alias("near"))
-    return p.where("(shares_tag or same_author) and (cast(shares_tag as int) + cast(same_author as int) + cast(near as int)) >= 2")
+    p = p.select("a", "b", tag.alias("shares_tag"), author.alias("same_author"), F.arrays_overlap("oa", "ob").alias("co_ref"), near.alias("near"))
+    return p.where("(shares_tag or same_author or co_ref) and (cast(shares_tag as int) + cast(same_author as int) + cast(co_ref as int) + cast(near as int)) >= 2")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -72,3 +72,13 @@ def test_likeness_takes_points_of_the_triage_score(run):
     ]
     scores = {r.note_id: r.score for r in run("triage_score", notes)}
     assert scores == {1: 30, 2: 30, 3: 40, 4: 55}
+
+
+def test_shared_link_targets_open_the_gate(run):
+    text = words(*range(20))
+    notes = [
+        {"note_id": 1, "author": "a", "body": f"{text} [[there#x|y]]"},
+        {"note_id": 2, "author": "b", "body": f"{text} [[ there ]]"},
+        {"note_id": 3, "author": "c", "body": text},
+    ]
+    assert [tuple(r) for r in run("link_gate", notes)] == [(1, 2, False, False, True, True)]
