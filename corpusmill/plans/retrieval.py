@@ -146,14 +146,15 @@ def title_boosted_top10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reranked_top10(spark: SparkSession, folder: str) -> DataFrame:
-    """The first twenty by BM25 scored again by token overlap, importance and age on a fixed day, the ten best kept."""
+    """The first twenty by BM25 scored again by token overlap, domain, tags and content type that stand in the term, importance and age on a fixed day, the ten best kept."""
     first = I.ranked(I.bm25(notes_index(spark, folder), term_queries(spark, folder)), 20).select("query", "doc")
-    q = table(spark, folder, "canon_term").select(F.col("term_id").alias("query"), F.array_distinct(X.tokens(F.col("term"))).alias("q"))
-    n = table(spark, folder, "note_record").select(F.col("note_id").alias("doc"), F.array_distinct(X.tokens(note_text())).alias("d"), "importance", F.datediff(F.lit(AS_OF).cast("date"), F.coalesce("updated", "created")).alias("age"))
+    q = table(spark, folder, "canon_term").select(F.col("term_id").alias("query"), "term", F.array_distinct(X.tokens(F.col("term"))).alias("q"))
+    n = table(spark, folder, "note_record").select(F.col("note_id").alias("doc"), F.array_distinct(X.tokens(note_text())).alias("d"), "domain", F.array_compact("tags").alias("tags"), "content_type", "importance", F.datediff(F.lit(AS_OF).cast("date"), F.coalesce("updated", "created")).alias("age"))
     s = first.join(q, "query").join(n, "doc")
     overlap = F.size(F.array_intersect("q", "d")) / F.greatest(F.size(F.array_union("q", "d")), F.lit(1))
-    no = F.lit(False)
-    score = I.rerank_score(overlap, no, no, no, F.col("importance"), F.lit(None).cast("string"), F.col("age"))
+    stands = lambda text, part: F.coalesce((part != "") & F.contains(text, part), F.lit(False))
+    tagged = F.coalesce(F.exists("tags", lambda t: stands(F.col("term"), t)), F.lit(False))
+    score = I.rerank_score(overlap, stands(F.col("term"), F.col("domain")), tagged, stands(F.lower("term"), F.col("content_type")), F.col("importance"), F.lit(None).cast("string"), F.col("age"))
     return _top(s.select("query", "doc", score.alias("score")))
 
 

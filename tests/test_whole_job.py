@@ -82,3 +82,21 @@ def test_shared_link_targets_open_the_gate(run):
         {"note_id": 3, "author": "c", "body": text},
     ]
     assert [tuple(r) for r in run("link_gate", notes)] == [(1, 2, False, False, True, True)]
+
+
+def test_fields_that_stand_in_the_query_count_in_the_rerank(run):
+    note = {"body": "ops howto", "importance": 0.5}
+    notes = [
+        note | {"note_id": 1},
+        note | {"note_id": 2, "domain": "", "tags": ["", None], "content_type": ""},
+        note | {"note_id": 3, "domain": "Ops"},
+        note | {"note_id": 4, "content_type": "howto", "tags": ["xx", None]},
+        note | {"note_id": 5, "domain": "ops", "tags": ["no", "Ops"], "content_type": "chat"},
+    ]
+    scores = {r.doc: r.score for r in run("reranked_top10", notes, [(1, "domain", "Ops Howto", [])])}
+    base = 0.4 + 0.1 + 0.05 + 0.05
+    assert scores[1] == pytest.approx(base) and scores[2] == pytest.approx(base)
+    assert scores[3] == pytest.approx(base + 0.08)
+    # a tag adds a token to the note's text, so that the overlap is two of three
+    assert scores[4] == pytest.approx(base - 0.4 / 3 + 0.06)
+    assert scores[5] == pytest.approx(base - 0.4 / 3 + 0.06)
