@@ -11,24 +11,41 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it.
+    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` wins. Where it is unset (tests, a laptop) a local
-    folder is chosen once per application and set as the checkpoint folder.
+    Where it is unset, a local master (tests, a laptop) gets a folder of its own
+    once per application, and any other master an error: its executors would
+    each write where only they can read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        import atexit
+        import shutil
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-    return spark.sparkContext.getCheckpointDir()
+        own = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder, so that its lineage ends there."""
+    """``df`` computed once and read back from the shared folder, so that its lineage ends there.
+
+    The files go when the result is no longer referenced, where the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def evenly(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few small ``rows`` with much work each, in as many partitions as the session shuffles into: partitions merged by their bytes would leave the work to a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
