@@ -43,9 +43,21 @@ def test_furniture_recurs(spark):
     own = df.withColumn("chunk_of", F.concat(F.lit("s"), F.col("chunk_id")))
     assert {r.chunk_id: r.reason for r in residue.classify(own).collect()}[0] == "stand_in"
     assert {r.chunk_id: r.reason for r in residue.classify(df).collect()}[0] is None  # one source only
+    assert residue.classify(own, recurring=8).where("reason is not null").count() == 0  # without the grouping the row is lost
     assert residue.classify(df.limit(0)).collect() == []
 
 
+def test_long_lines_are_treated_alike(spark):
+    page = "We are sorry. " + " ".join(f"Please enable JavaScript to view page {i}." for i in range(60))
+    told = "Please enable JavaScript, they said. " + " ".join(f"Then relin wrote note {i} about the queue {'x' * (i + 1)}." for i in range(20))
+    rows = [("a.md", page), ("a.md", told)] + [("b.md", f"We are sorry. Content {chr(97 + i)} of another kind, told at some length.") for i in range(6)]
+    from pyspark.sql import functions as F
+
+    own = chunks(spark, rows).withColumn("chunk_of", F.concat(F.lit("s"), F.col("chunk_id")))
+    got = {r.chunk_id: r.reason for r in residue.classify(own).collect()}
+    assert got[0] == "stand_in" and got[1] is None
+
+
 def texts():
     rng = random.Random(3)
     words = lambda n: " ".join("w" * rng.randrange(1, 12) for _ in range(n))
