@@ -2,15 +2,17 @@
 
 The high-frequency list holds the words that stand in at least a share of the
 corpus's documents, counted over all of it. A bounded sample of rated documents
-tells at which level each listed word is at home: the level whose sentences use
-it clearly more often than the others do. Words at home nowhere (function
-words, names) say nothing.
-
-The formula of a sentence is a constant, plus weights times its shares of
-words outside the easy list and outside the easy and ordinary lists together,
-plus a weight times the logarithm of its length; all weights are fitted to the
-ratings. The level of a document is the one at which most of its text stands,
-by the characters of its sentences.
+grades it: a listed word is at home at the level whose sentences use it clearly
+more often than the others do, and familiar at every level if none does. So
+there are two nested lists, words familiar to readers of easy text and to
+readers of ordinary text.
+
+The formula of a paragraph has the share of its words outside the easy list,
+the share outside the ordinary list, and the logarithm of its mean sentence
+length in words; a word that is in no list is outside both. It gives each level
+a score; the weights are fitted to the ratings, for Han script and for others
+apart as their words are of different size. The level of a document is the one
+at which most of its text stands, by the characters of its paragraphs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ RATED, RATED_CHARS = 4000, 20_000
 
 _WORD = re.compile(r"[a-z]+(?:'[a-z]+)?|[㐀-䶿一-鿿]+|[^\W\d_a-z㐀-䶿一-鿿]+")
 _CODE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)")
+_BLANK = re.compile(r"\n\s*\n")
+_HAN = re.compile(r"[㐀-䶿一-鿿]+")
 _SENTENCE = re.compile(r"(?<=[。！？!?…])|(?<=\.)\s|\n")
 
 
@@ -46,11 +50,18 @@ def words(text: str) -> list[str]:
     return out
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences in lower case outside code, tables and headings; all lines where nothing else is there."""
+def paragraphs(text: str) -> list[list[str]]:
+    """Paragraphs as their sentences, in lower case, outside code, tables and headings; all lines where nothing else is there."""
     lower = text.lower()
-    out = [s for s in _SENTENCE.split(_CODE.sub("\n", lower)) if s and not s.isspace() and s.lstrip()[0] not in "|#"]
-    return out or [s for s in lower.split("\n") if s and not s.isspace()]
+    told = lambda s: s and not s.isspace()
+    out = [[s for s in _SENTENCE.split(p) if told(s) and s.lstrip()[0] not in "|#"] for p in _BLANK.split(_CODE.sub("\n\n", lower))]
+    out = [p for p in out if p]
+    return out or [[s for s in lower.split("\n") if told(s)]]
+
+
+def is_han(sentences: list[str]) -> bool:
+    """Whether a fifth or more of the characters are Han."""
+    return sum(len(x) for s in sentences for x in _HAN.findall(s)) * 5 >= sum(map(len, sentences))
 
 
 def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -79,53 +90,57 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Formula:
-    """Levels of the listed words, and the weights of the formula."""
+    """The graded list, and the weights of the formula for each script."""
 
-    def __init__(self, home: dict[str, int], weights: tuple[float, float, float, float], usual: int):
+    def __init__(self, home: dict[str, int], weights: dict[bool, list[list[float]]], usual: int):
+        # 0: familiar everywhere, 1 to 3: at home there, absent: in no list
         self.home, self.weights, self.usual = home, weights, usual
 
     @staticmethod
-    def shares(home: dict[str, int], sentence: str) -> tuple[float, float, float] | None:
-        """Of the words that tell: the shares outside the easy list and outside the easy and ordinary lists; log of the length."""
-        get = home.get
-        levels = [v for v in map(get, words(sentence)) if v]
-        if not levels:
-            return None
-        n = len(levels)
-        return 1 - levels.count(1) / n, levels.count(3) / n, math.log(len(sentence))
-
-    def sentence(self, sentence: str) -> float | None:
-        x = self.shares(self.home, sentence)
-        if x is None:
+    def terms(home: dict[str, int], paragraph: list[str]) -> tuple[float, float, float, float] | None:
+        """1, the shares of words outside the easy and the ordinary list, and the logarithm of the mean sentence length; null without a word."""
+        get, n, hard, ordinary = home.get, 0, 0, 0
+        for s in paragraph:
+            for w in words(s):
+                h = get(w, 3)
+                n += 1
+                hard += h == 3
+                ordinary += h == 2
+        return (1.0, (ordinary + hard) / n, hard / n, math.log(n / len(paragraph))) if n else None
+
+    def paragraph(self, paragraph: list[str]) -> int | None:
+        """The level with the highest score, the lower of equals."""
+        x = self.terms(self.home, paragraph)
+        weights = self.weights.get(is_han(paragraph)) if x else None
+        if weights is None:
             return None
-        k, a, b, c = self.weights
-        return k + a * x[0] + b * x[1] + c * x[2]
+        scores = [sum(a * b for a, b in zip(w, x)) for w in weights]
+        return scores.index(max(scores)) + 1
 
     def level(self, text: str) -> int:
-        """1, 2 or 3: where most of the text stands; the lower of equals, and the usual level of rated texts where no word tells."""
+        """1, 2 or 3: where most of the text stands; the lower of equals, and the usual level of rated texts where nothing tells."""
         size = [0, 0, 0]
-        for s in sentences(text):
-            y = self.sentence(s)
+        for p in paragraphs(text):
+            y = self.paragraph(p)
             if y is not None:
-                size[0 if y < 1.5 else 1 if y < 2.5 else 2] += len(s)
+                size[y - 1] += sum(map(len, p))
         return size.index(max(size)) + 1 if any(size) else self.usual
 
-    @classmethod
-    def fit(cls, listed: set[str], rated: list[tuple[str, int]], rounds: int = 3) -> "Formula":
-        """From the list and ``(text, level)`` pairs. A sentence may be of another level than its text's rating; that is estimated in turn with the words' levels."""
+    @staticmethod
+    def grades(listed: set[str], rated: list[tuple[int, list[str]]], rounds: int = 3) -> dict[str, int]:
+        """Levels of the words of ``listed`` that stand in rated sentences. A sentence may be of another level than its text's rating; that is estimated in turn with the words' levels."""
         import numpy as np
 
-        texts = [(level, [(s, list(dict.fromkeys(w for w in words(s) if w in listed))) for s in sentences(t)]) for t, level in rated]
-        texts = [(level, [x for x in ss if x[1]]) for level, ss in texts]
-        usual = Counter(level for level, _ in texts).most_common(1)[0][0] if texts else 2
-        flat = [(level, s, ws) for level, ss in texts for s, ws in ss]
+        flat = [(level, list(dict.fromkeys(w for w in words(s) if w in listed))) for level, ss in rated for s in ss]
+        flat = [x for x in flat if x[1]]
+        home = dict.fromkeys(listed, 0)
         if not flat:
-            return cls({}, (1.0, 1.0, 1.0, 0.0), usual)
-        of = np.array([level - 1 for level, _, _ in flat])
+            return home
+        of = np.array([level - 1 for level, _ in flat])
         at = np.eye(3)[of]
-        vocab = {w: i for i, w in enumerate(sorted({w for _, _, ws in flat for w in ws}))}
-        row = np.repeat(np.arange(len(flat)), [len(ws) for _, _, ws in flat])
-        col = np.array([vocab[w] for _, _, ws in flat for w in ws])
+        vocab = {w: i for i, w in enumerate(sorted({w for _, ws in flat for w in ws}))}
+        row = np.repeat(np.arange(len(flat)), [len(ws) for _, ws in flat])
+        col = np.array([vocab[w] for _, ws in flat for w in ws])
         prior = np.log(np.where(np.eye(3)[of] > 0, 0.7, 0.15))
         for _ in range(rounds):
             counts = np.zeros((len(vocab), 3))
@@ -136,16 +151,39 @@ class Formula:
             np.add.at(score, row, np.log(share)[col])
             at = np.exp(score - score.max(1, keepdims=True))
             at /= at.sum(1, keepdims=True)
-        home = {w: int(share[i].argmax()) + 1 for w, i in vocab.items() if share[i].max() >= 0.6}
-        x, y = [], []
-        for (_, s, _), p in zip(flat, at, strict=True):
-            if (v := cls.shares(home, s)) is not None:
-                x.append((1.0, *v))
-                y.append(p.argmax() + 1)
-        if len(set(y)) < 3:
-            return cls(home, (1.0, 1.0, 1.0, 0.0), usual)
-        weights = np.linalg.lstsq(np.array(x), np.array(y, float), rcond=1e-6)[0]
-        return cls(home, tuple(float(w) for w in weights), usual)
+        home.update((w, int(share[i].argmax()) + 1) for w, i in vocab.items() if share[i].max() >= 0.6)
+        return home
+
+    @classmethod
+    def fit(cls, listed: set[str], rated: list[tuple[str, int]], rounds: int = 3) -> "Formula":
+        """From the list and ``(text, level)`` pairs, by multinomial logistic regression; paragraphs may be of another level than their text's rating, which is estimated in turn with the weights."""
+        import numpy as np
+
+        texts = [(level, paragraphs(t)) for t, level in rated]
+        usual = min(Counter(level for level, _ in texts).items(), key=lambda x: (-x[1], x[0]))[0] if texts else 2
+        home = cls.grades(listed, [(level, [s for p in ps for s in p]) for level, ps in texts])
+        weights: dict[bool, list[list[float]]] = {}
+        for script in (False, True):
+            rows = [(x, level) for level, ps in texts for p in ps if is_han(p) == script and (x := cls.terms(home, p)) is not None]
+            if not rows:
+                continue
+            x, rating = np.array([r[0] for r in rows]), np.eye(3)[[r[1] - 1 for r in rows]]
+            prior, at = np.log(np.where(rating > 0, 0.8, 0.1)), rating
+            for _ in range(rounds):
+                w = np.zeros((x.shape[1], 3))
+                for _ in range(60):  # Newton's steps with one curvature for the three levels
+                    p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
+                    p /= p.sum(1, keepdims=True)
+                    bend = (x * (p * (1 - p)).mean(1)[:, None]).T @ x / len(x) + 1e-3 * np.eye(x.shape[1])
+                    w -= 0.7 * np.linalg.solve(bend, x.T @ (p - at) / len(x) + 1e-3 * w)
+                score = x @ w + prior
+                at = np.exp(score - score.max(1, keepdims=True))
+                at /= at.sum(1, keepdims=True)
+            weights[script] = w.T.tolist()
+        for script in (False, True):  # a script without a rated paragraph goes by the other's weights
+            if weights and script not in weights:
+                weights[script] = weights[not script]
+        return cls(home, weights, usual)
 
 
 def reading_levels(documents: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", rating: str = "reading_level", share: float = SHARE, rated: int = RATED, rated_chars: int = RATED_CHARS) -> DataFrame:
