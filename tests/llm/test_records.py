@@ -95,6 +95,24 @@ def test_mapping(spark, monkeypatch):
     assert {r.term_id for r in canonical.map_typed(notes, terms.limit(0)).collect()} == {0} and canonical.map_typed(notes.limit(0), terms).collect() == []
 
 
+def test_all_candidates(spark, monkeypatch):
+    terms = spark.createDataFrame([(1, "tag", "planner", ["plannar"]), (2, "tag", "planned", None), (3, "domain", "planner", None)], "term_id long, kind string, term string, aliases array<string>")
+    values = spark.createDataFrame([("tag", "plannes", 1)] * 3 + [("tag", None, 1), (None, "planner", 1), ("tag", "--", 1), ("tag", "zzz", 1)], "kind string, value string, term_id int")
+    want = {("tag", "plannes", 1, 1), ("tag", "plannes", 2, 1)}
+    for block in (50_000, 1):
+        monkeypatch.setattr(canonical, "BLOCK", block)
+        got = [tuple(r) for r in canonical.candidates(values, terms, "kind", "value").collect()]
+        assert set(got) == want and len(got) == 2
+    back = [(r.value, r.term_id) for r in canonical.to_canonical(values, terms, "kind", "value").collect()]
+    assert sorted(back, key=str) == sorted([("plannes", 1)] * 3 + [(None, 0), ("planner", 0), ("--", 0), ("zzz", 0)], key=str)
+
+
+def test_leak_index_is_bounded():
+    block = leakage.Items([(i, "".join(chr(97 + (i * k * k + k) % 26) for k in range(2000))) for i in range(50)], 40)
+    size = block.codes.nbytes + block.minima.nbytes + block.windows.nbytes + block.at.nbytes
+    assert size <= leakage.BYTES_A_CHAR * 100_000 and leakage.BYTES_A_CHAR * leakage.BLOCK_CHARS < 100_000_000
+
+
 def test_leaks_against_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     text = lambda n: "".join(rng.choice("abc 中文，.1") for _ in range(n))
@@ -143,3 +161,17 @@ def test_reading_levels(spark):
     few = reading.reading_levels(d, l, rated=40).collect()
     assert len(few) == len(got)
     assert {r.reading_level for r in reading.reading_levels(d, l.limit(0)).collect()} == {2} and reading.reading_levels(d.limit(0), l).collect() == []
+
+
+def test_both_terms_of_the_formula_decide():
+    rng = random.Random(4)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    # levels 1 and 2 have one vocabulary and differ in the length of sentences; level 3 has words of its own
+    write = lambda level: " ".join(say(HARD if level == 3 else EASY, 4 if level == 1 else 24) for _ in range(6))
+    rated = [(write(k % 3 + 1), k % 3 + 1) for k in range(150)]
+    f = reading.Formula.fit(set(EASY) | set(HARD), rated)
+    share = lambda g: sum(g.level(write(k % 3 + 1)) == k % 3 + 1 for k in range(90)) / 90
+    without = lambda *gone: reading.Formula(f.home, {s: [[0 if i in gone else v for i, v in enumerate(w)] for w in x] for s, x in f.weights.items()}, f.usual)
+    assert share(f) >= 0.97 and share(without(3)) < 0.8 and share(without(1, 2)) < 0.8
+    # a word in no list is outside both
+    assert reading.Formula.terms({"we": 1}, ["we zzz zzz zzz."])[1:3] == (0.75, 0.75)
