@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.sources.tables import cut, shared_folder
 
 K1, B = 1.5, 0.75
 RRF_K, RRF_CAP = 60, 300
@@ -21,9 +24,13 @@ POLICY = {"must": 1.10, "should": 1.05, "may": 1.00}
 POLICY_DEFAULT = 1.05
 
 
+#: Folders that a stored index is cut into by the hash of the term.
+BUCKETS = 64
+
+
 @dataclass(frozen=True)
 class Index:
-    """``postings(doc, term, tf)``, ``terms(term, df, idf)``, ``docs(doc, dl, norm)`` and the one row ``stats(n, avgdl)``."""
+    """A stored index: ``postings(term, doc, tf, dl, norm)`` in folders ``bucket``, ``terms(term, df, idf)``, ``docs(doc, dl, norm, sha)`` and the one row ``stats(n, avgdl)``."""
 
     postings: DataFrame
     terms: DataFrame
@@ -31,27 +38,82 @@ class Index:
     stats: DataFrame
 
 
-def term_counts(texts: DataFrame, doc: str, text: Column) -> DataFrame:
-    """``doc, term, tf`` of every document with a token; null texts have none."""
-    return texts.select(F.col(doc).alias("doc"), F.explode(X.tokens(text)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def written(df: DataFrame, *by: str, name: str) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, in folders ``by``."""
+    path = f"{shared_folder(df.sparkSession)}/index/{uuid.uuid4().hex}/{name}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def term_counts(texts: DataFrame) -> DataFrame:
+    """``doc, term, tf`` of every document of ``doc, t`` with a token; null texts have none."""
+    return texts.select("doc", F.explode(X.tokens(F.col("t"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+
+
+def finished(counts: DataFrame, texts: DataFrame) -> Index:
+    """The index of written ``counts`` (``doc, term, tf``) of the documents of ``texts`` (``doc, sha``).
+
+    What is added up across rows for a norm are decimals, so that no order of
+    the rows shows in it. Postings carry what every score needs of their
+    document, are sorted by term within their bucket, and are spread by bucket,
+    term and document, so that a frequent term is no task of its own.
+    """
+    n = texts.agg(F.count("*").alias("n"))
+    terms = written(counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), name="terms")
+    square = F.pow(F.col("tf") * F.col("idf"), 2)
+    weights = counts.join(terms, "term").groupBy("doc").agg(F.sum("tf").alias("dl"), F.sqrt(exact_sum(square)).alias("norm"))
+    docs = written(texts.join(weights, "doc", "left").select("doc", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.coalesce("norm", F.lit(1.0)).alias("norm"), "sha"), name="docs")
+    stats = written(docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.lit(0.0)).alias("avgdl")), name="stats")
+    postings = counts.join(docs.drop("sha"), "doc").select("term", "doc", "tf", "dl", "norm", bucket(F.col("term")).alias("bucket"))
+    return Index(written(postings.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term"), "bucket", name="postings"), terms, docs, stats)
+
+
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles as one that doesn't depend on their order."""
+    return F.sum(x.cast("decimal(30,15)")).cast("double")
+
+
+def keyed(texts: DataFrame, doc: str, text: Column) -> DataFrame:
+    return texts.select(F.col(doc).alias("doc"), text.alias("t")).withColumn("sha", F.xxhash64("t"))
 
 
 def build_index(texts: DataFrame, doc: str, text: Column) -> Index:
-    """The index of ``texts``. Ids have to be unique; documents without tokens count in ``n`` and have norm 1.
+    """The index of ``texts``, written to the shared folder. Ids have to be unique; documents without tokens count in ``n`` and have norm 1.
 
     idf is ``ln((n + 1) / (df + 1)) + 1``, the norm the root of the sum of squared
-    ``tf * idf``, ``avgdl`` the mean of all lengths. The counts by document and by
-    term are one shuffle each; ``stats`` and ``terms`` are joined by what AQE
-    knows of their size.
+    ``tf * idf``, ``avgdl`` the mean of all lengths. Texts are tokenised once.
+    """
+    rows = keyed(texts, doc, text)
+    return finished(written(term_counts(rows), name="counts"), rows.select("doc", "sha"))
+
+
+def updated_index(old: Index, texts: DataFrame, doc: str, text: Column) -> Index:
+    """The index of ``texts`` made of that of an earlier state: only texts that are new or changed are tokenised.
+
+    The counts of the others are taken from the old postings, those of texts
+    that are gone are left out, and frequencies, weights and norms are made
+    anew, as they change with the number of texts: the result equals a full build.
     """
-    postings = term_counts(texts, doc, text)
-    n = texts.select(F.count("*").alias("n"))
-    lengths = postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    stats = n.crossJoin(lengths.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))).select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.lit(0.0)).alias("avgdl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weights = postings.join(terms, "term").groupBy("doc").agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
-    docs = texts.select(F.col(doc).alias("doc")).join(weights, "doc", "left").select("doc", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.coalesce("norm", F.lit(1.0)).alias("norm"))
-    return Index(postings, terms, docs, stats)
+    rows = keyed(texts, doc, text)
+    same = rows.select("doc", "sha").join(old.docs.select("doc", F.col("sha").alias("was")), "doc").where(F.col("sha").eqNullSafe(F.col("was"))).select("doc")
+    kept = old.postings.select("doc", "term", "tf").join(same, "doc", "left_semi")
+    fresh = term_counts(rows.join(same, "doc", "left_anti"))
+    return finished(written(kept.unionByName(fresh), name="counts"), rows.select("doc", "sha"))
+
+
+_STORED: dict[tuple, Index] = {}
+
+
+def stored(spark: SparkSession, key: tuple, build: Callable[[], Index]) -> Index:
+    """The index that this application has stored under ``key``, else the one that ``build`` makes; the key has to tell the state of the data."""
+    whole = (spark.sparkContext.applicationId, *key)
+    if whole not in _STORED:
+        _STORED[whole] = build()
+    return _STORED[whole]
 
 
 def query_terms(queries: DataFrame, query: str, text: Column) -> DataFrame:
@@ -59,21 +121,52 @@ def query_terms(queries: DataFrame, query: str, text: Column) -> DataFrame:
     return queries.select(F.col(query).alias("query"), F.explode(X.tokens(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
 
 
+def asked_postings(index: Index, q: DataFrame) -> DataFrame:
+    """The postings in the folders that the terms of ``q`` lie in."""
+    asked = [r.b for r in q.select(bucket(F.col("term")).alias("b")).distinct().collect()]
+    return index.postings.where(F.col("bucket").isin(asked)) if len(asked) < BUCKETS else index.postings
+
+
+def scores(index: Index, q: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``query, doc, cosine, bm25`` of every query and document that share a term of the index, from one pass over the postings asked for.
+
+    Cosine is that of the tf-idf vectors; terms the index doesn't know are left
+    out of the query. BM25 is Okapi's; a repeated query term counts so often.
+    """
+    rare = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    known = q.join(index.terms, "term").crossJoin(index.stats).select("query", "term", "idf", (F.col("qtf") * F.col("idf")).alias("w"), (rare * F.col("qtf")).alias("r"), "avgdl")
+    # the weights of all queries are few next to the postings, and read twice
+    known = cut(known)
+    size = known.groupBy("query").agg(F.sqrt(exact_sum(F.col("w") * F.col("w"))).alias("qnorm"))
+    hit = asked_postings(index, q).join(known, "term")
+    part = F.col("r") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
+    sums = hit.groupBy("query", "doc").agg(exact_sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"), exact_sum(part).alias("bm25"), F.first("norm").alias("norm"))
+    return sums.join(size, "query").select("query", "doc", (F.col("dot") / F.col("qnorm") / F.col("norm")).alias("cosine"), "bm25")
+
+
 def cosine(index: Index, q: DataFrame) -> DataFrame:
-    """``query, doc, score``: cosine of the tf-idf vectors, of pairs that share a term of the index. Terms it doesn't know are left out of the query."""
-    weights = q.join(index.terms, "term").select("query", "term", "idf", (F.col("qtf") * F.col("idf")).alias("w"))
-    size = weights.groupBy("query").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))
-    dots = index.postings.join(weights, "term").groupBy("query", "doc").agg(F.sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"))
-    return dots.join(size, "query").join(index.docs.select("doc", "norm"), "doc").select("query", "doc", (F.col("dot") / F.col("qnorm") / F.col("norm")).alias("score"))
+    """``query, doc, score`` by cosine."""
+    return scores(index, q).select("query", "doc", F.col("cosine").alias("score"))
+
+
+def bm25(index: Index, q: DataFrame) -> DataFrame:
+    """``query, doc, score`` by BM25."""
+    return scores(index, q).select("query", "doc", F.col("bm25").alias("score"))
 
 
-def bm25(index: Index, q: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``query, doc, score`` by Okapi BM25; a repeated query term counts so often."""
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    known = q.join(index.terms.select("term", "df"), "term").crossJoin(index.stats).select("query", "term", (idf * F.col("qtf")).alias("w"), "avgdl")
-    hit = index.postings.join(known, "term").join(index.docs.select("doc", "dl"), "doc")
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
-    return hit.groupBy("query", "doc").agg(F.sum(part).alias("score"))
+def candidates(index: Index, passages: DataFrame, query: str, passage: str) -> DataFrame:
+    """``query, doc``: documents that may hold the whole passage, as they have the rarest of its tokens that don't touch its ends.
+
+    Passages without such a token have no row; ``has_inner`` tells them.
+    """
+    terms = passages.select(F.col(query).alias("query"), F.explode(F.array_distinct(X.tokens(inner(F.col(passage))))).alias("term"))
+    rarest = terms.join(index.terms.select("term", "df"), "term", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term")).alias("r")).select("query", "r.term")
+    return asked_postings(index, rarest).join(rarest, "term").select("query", "doc")
+
+
+def inner(text: Column) -> Column:
+    """A text without the runs of letters and digits at its ends, which may go on in a text that holds it."""
+    return F.regexp_replace(text, "^[A-Za-z0-9]+|[A-Za-z0-9]+$", " ")
 
 
 def ranked(scores: DataFrame, most: int, digits: int = 9) -> DataFrame:
@@ -82,13 +175,11 @@ def ranked(scores: DataFrame, most: int, digits: int = 9) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def rrf(a: DataFrame, b: DataFrame, k: int = RRF_K, cap: int = RRF_CAP) -> DataFrame:
-    """``query, doc, score``: the reciprocal ranks of both lists, of the first ``cap`` of each, added. A query that ``b`` has nothing for keeps ``a``'s scores."""
-    both = ranked(a, cap).select("query", "doc", "rank").unionByName(ranked(b, cap).select("query", "doc", "rank"))
-    fused = both.groupBy("query", "doc").agg(F.sum(1 / (F.col("rank") + k)).alias("score"))
-    missing = a.join(b.select("query").distinct(), "query", "left_anti")
-    fused = fused.join(b.select("query").distinct(), "query", "left_semi")
-    return fused.unionByName(missing.select("query", "doc", "score"))
+def rrf(both: DataFrame, k: int = RRF_K, cap: int = RRF_CAP) -> DataFrame:
+    """``query, doc, score``: the reciprocal ranks by ``cosine`` and by ``bm25`` of ``both``, of the first ``cap`` of each, added. ``both`` is read twice."""
+    places = [ranked(both.select("query", "doc", F.col(c).alias("score")), cap).select("query", "doc", F.lit(c).alias("by"), "rank") for c in ("cosine", "bm25")]
+    first = lambda c: F.coalesce(F.max(F.when(F.col("by") == c, 1 / (F.col("rank") + k))), F.lit(0.0))
+    return places[0].unionByName(places[1]).groupBy("query", "doc").agg((first("cosine") + first("bm25")).alias("score"))
 
 
 def field_matches(queries: DataFrame, query: str, text: Column, fields: DataFrame) -> DataFrame:
@@ -108,7 +199,8 @@ def note_fields(notes: DataFrame, doc: str) -> DataFrame:
 
 def boosted(scores: DataFrame, matches: DataFrame, boost: float = BOOST) -> DataFrame:
     """Scores plus ``boost`` for each match; a document that only matches is added."""
-    return scores.unionByName(matches.select("query", "doc", (F.col("n") * boost).alias("score"))).groupBy("query", "doc").agg(F.sum("score").alias("score"))
+    j = scores.join(matches.select("query", "doc", "n"), ["query", "doc"], "full")
+    return j.select("query", "doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce(F.col("n") * boost, F.lit(0.0))).alias("score"))
 
 
 def case_map(key: Column, values: dict[str, float], default: float) -> Column:
@@ -159,16 +251,50 @@ def tail_fill(lexical: DataFrame, dense: DataFrame, k: int, share: float = 0.4)
     return kept.unionByName(new.select("query", "doc", (F.col("floor") * (1 - 1e-6 * F.col("rank"))).alias("score"), (F.col("rank") + keep).alias("rank")))
 
 
+#: Bytes of query vectors that the tasks hold at once; more are asked in blocks.
+QUERY_BYTES = 64_000_000
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, doc: str = "vec_id", vector: str = "embedding", query: str = "vec_id") -> DataFrame:
-    """``query, doc, score, rank``: the ``k`` vectors with the largest positive dot product for each query vector.
+    """``query, doc, score, rank``: the ``k`` vectors with the largest positive dot product for each query vector; scores equal to six decimals are ties, by doc.
 
-    Every query meets every vector, each task keeping the best of its own
-    before the shuffle; the queries have to be a small, stated set.
+    A stated set of queries against all vectors: each task multiplies its
+    batches with a block of queries of at most ``QUERY_BYTES`` and keeps the best
+    ``k`` of each; a block more is a pass more over the vectors. Ids are bigints
+    and unique; null vectors take no part; those of another length than the
+    first query's are an error.
     """
-    q = queries.select(F.col(query).alias("query"), F.col(vector).alias("q"))
-    v = vectors.select(F.col(doc).alias("doc"), F.col(vector).alias("v"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    return ranked(v.crossJoin(q).select("query", "doc", dot.alias("score")).where("score > 0"), k, 6)
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(query).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(doc).cast("long").alias("id"), F.col(vector).alias("v"))
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-(size.n * (size.d or 0) * 8) // QUERY_BYTES))
+    out = None
+    for b in range(blocks):
+        rows = q.where(F.expr(f"pmod(xxhash64(id), {blocks}) = {b}")).orderBy("id").collect()
+        held = vectors.sparkSession.sparkContext.broadcast(([r.id for r in rows], [r.v for r in rows]))
+
+        def search(batches: Iterator, held=held) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            ids, asked = held.value
+            matrix = np.array(asked, np.float64)
+            best = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            for batch in batches:
+                if not len(batch) or not ids:
+                    continue
+                docs, lists = batch.column(0).to_numpy(), batch.column(1)
+                table = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+                dots = np.concatenate([best[0], np.round(matrix @ table.T, 9)], axis=1)
+                names = np.concatenate([best[1], np.broadcast_to(docs, (len(ids), len(docs)))], axis=1)
+                keep = np.lexsort((names, -np.round(dots, 6)), axis=1)[:, :k]
+                best = np.take_along_axis(dots, keep, 1), np.take_along_axis(names, keep, 1)
+            good = best[0] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), good.sum(1))), pa.array(best[1][good]), pa.array(best[0][good])], names=["query", "doc", "score"])
+
+        part = v.mapInArrow(search, "query bigint, doc bigint, score double")
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, k, 6)
 
 
 def rerank_score(overlap: Column, domain: Column, tags: Column, ctype: Column, importance: Column, enforce: Column, age: Column) -> Column:

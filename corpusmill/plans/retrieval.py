@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as X
 from corpusmill.operators import index as I
 from corpusmill.plans import sqltext as S
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import cut, state_of, table
 
 AS_OF = "2026-01-01"
 
@@ -18,7 +18,8 @@ def note_text() -> Column:
 
 
 def notes_index(spark: SparkSession, folder: str) -> I.Index:
-    return I.build_index(table(spark, folder, "note_record"), "note_id", note_text())
+    """The index of all notes, built once an application and state of the table."""
+    return I.stored(spark, ("notes", *state_of(spark, folder, "note_record")), lambda: I.build_index(table(spark, folder, "note_record"), "note_id", note_text()))
 
 
 def term_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,7 +28,7 @@ def term_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def tf_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Term counts of every note."""
-    return notes_index(spark, folder).postings
+    return notes_index(spark, folder).postings.select("doc", "term", "tf")
 
 
 def df_idf(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,8 +46,13 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return notes_index(spark, folder).stats.select("n", F.round("avgdl", 4).alias("avgdl"))
 
 
+def _six(score: str) -> Column:
+    """A score with six decimals, from the nine that it is ranked by: a half that doubles miss by their last bit is a half."""
+    return F.round(F.round(score, 9), 6).alias(score)
+
+
 def _top(scores: DataFrame, k: int = 10) -> DataFrame:
-    return I.ranked(scores, k).select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return I.ranked(scores, k).select("query", "doc", _six("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def cosine_top10(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,8 +65,17 @@ def bm25_top10(spark: SparkSession, folder: str) -> DataFrame:
     return _top(I.bm25(notes_index(spark, folder), term_queries(spark, folder)))
 
 
+def index_update(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of the notes recorded up to the end of 2025, brought to that of all notes, with each note's length and norm and how many terms and postings there are."""
+    notes = table(spark, folder, "note_record")
+    old = I.build_index(notes.where("recorded_at < timestamp_ntz'2026-01-01 00:00:00'"), "note_id", F.concat_ws(" ", "title", "body"))
+    new = I.updated_index(old, notes, "note_id", note_text())
+    counts = new.terms.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    return new.docs.crossJoin(counts).select("doc", "dl", F.round("norm", 6).alias("norm"), "terms", "postings")
+
+
 def _fused(index: I.Index, q: DataFrame) -> DataFrame:
-    return I.rrf(I.cosine(index, q), I.bm25(index, q))
+    return I.rrf(cut(I.scores(index, q)))
 
 
 def rrf_top10(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,13 +108,13 @@ def hybrid_retrieve(spark: SparkSession, folder: str) -> DataFrame:
     factors = kept.select(F.col("note_id").alias("doc"), (I.layer_factor(F.col("kb_layer"), F.lit(None).cast("double")) * I.priority_factor(F.col("content_type"), F.lit(None).cast("string"))).alias("factor"), F.lower("rel").alias("root"))
     scored = _boosted(spark, folder).join(factors, "doc").select("query", "doc", (F.col("score") * F.col("factor")).alias("score"), "root")
     best = I.family_best(scored.drop("root"), factors.select("doc", "root"), 10)
-    return best.select("query", "doc", F.round("score", 6).alias("score"), F.col("siblings").cast("long").alias("siblings"), F.col("rank").cast("long").alias("rank"))
+    return best.select("query", "doc", _six("score"), F.col("siblings").cast("long").alias("siblings"), F.col("rank").cast("long").alias("rank"))
 
 
 def chunk_family_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best chunks for each term, at most two of one parent."""
     chunks = table(spark, folder, "chunk_note").dropDuplicates(["chunk_id"])
-    index = I.build_index(chunks, "chunk_id", F.col("body"))
+    index = I.stored(spark, ("chunks", *state_of(spark, folder, "chunk_note")), lambda: I.build_index(chunks, "chunk_id", F.col("body")))
     roots = chunks.select(F.col("chunk_id").alias("doc"), F.coalesce("chunk_of", "filename").alias("root"))
     best = I.family_best(I.bm25(index, term_queries(spark, folder)), roots, 10)
     return best.select("query", "doc", F.round("score", 6).alias("score"), F.col("siblings").cast("long").alias("siblings"), F.col("rank").cast("long").alias("rank"))
@@ -120,7 +135,7 @@ def dense_tail_fill(spark: SparkSession, folder: str) -> DataFrame:
     notes = table(spark, folder, "note_record")
     q = term_queries(spark, folder)
     lexical = I.bm25(notes_index(spark, folder), q)
-    titles = I.cosine(I.build_index(notes, "note_id", F.col("title")), q)
+    titles = I.cosine(I.stored(spark, ("titles", *state_of(spark, folder, "note_record")), lambda: I.build_index(notes, "note_id", F.col("title"))), q)
     return I.tail_fill(lexical, titles, 10).select("query", "doc", F.col("rank").cast("long").alias("rank"))
 
 
@@ -167,9 +182,14 @@ def expanded_top10(spark: SparkSession, folder: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """First hit, recall among ten and mean reciprocal rank of the held-out questions over the documents that hold their passage."""
     docs = table(spark, folder, "documents").where("text is not null")
-    items = table(spark, folder, "eval_item")
-    gold = docs.crossJoin(items.select("item_id", "passage")).where(F.contains("text", "passage")).select(F.col("item_id").alias("query"), F.col("doc_id").alias("doc")).distinct()
-    index = I.build_index(docs, "doc_id", F.col("text"))
+    items = table(spark, folder, "eval_item").where("item_id is not null and passage is not null").select("item_id", "question", "passage")
+    index = I.stored(spark, ("documents", *state_of(spark, folder, "documents")), lambda: I.build_index(docs, "doc_id", F.col("text")))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    asked = items.select(F.col("item_id").alias("query"), "passage")
+    # a document holds a passage only if it has the passage's rarest inner token
+    met = I.candidates(index, items, "item_id", "passage").join(asked, "query").join(texts, "doc")
+    plain = asked.where(F.size(X.tokens(I.inner(F.col("passage")))) == 0).crossJoin(texts)
+    gold = met.select("query", "doc", "passage", "text").unionByName(plain.select("query", "doc", "passage", "text")).where(F.contains("text", "passage")).select("query", "doc").distinct()
     hits = I.ranked(I.bm25(index, I.query_terms(items, "item_id", F.col("question"))), 10).select("query", "doc", "rank")
     per = gold.join(hits, ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("first"), F.count("rank").alias("found"), F.count("*").alias("of"))
     return per.agg(
@@ -214,7 +234,7 @@ def context_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    tf_terms, df_idf, doc_norms, corpus_stats, cosine_top10, bm25_top10, rrf_top10, field_matches, boosted_top10, hybrid_retrieve, chunk_family_top, dense_topk, dense_tail_fill, adjusted_top10,
+    tf_terms, df_idf, doc_norms, corpus_stats, index_update, cosine_top10, bm25_top10, rrf_top10, field_matches, boosted_top10, hybrid_retrieve, chunk_family_top, dense_topk, dense_tail_fill, adjusted_top10,
     title_boosted_top10, reranked_top10, expanded_top10, retrieval_metrics, snippet_window, context_budget)}
 
 _I, _Q = "WITH " + S.indexed(), ",\n" + S.asked()
@@ -229,6 +249,7 @@ SQL = {
     "df_idf": _I + " SELECT term, df, round(idf, 6) AS idf FROM terms",
     "doc_norms": _I + " SELECT doc, dl, round(norm, 6) AS norm FROM docs",
     "corpus_stats": _I + " SELECT n, round(avgdl, 4) AS avgdl FROM stats",
+    "index_update": _I + " SELECT doc, dl, round(norm, 6) AS norm, (SELECT count(*) FROM terms) AS terms, (SELECT CAST(sum(df) AS BIGINT) FROM terms) AS postings FROM docs",
     "cosine_top10": _I + _Q + " " + _OUT + S.top("cosine", 10),
     "bm25_top10": _I + _Q + " " + _OUT + S.top("bm25", 10),
     "rrf_top10": _I + _Q + ",\n" + S.RRF + " " + _OUT + S.top("fused", 10),
@@ -253,9 +274,9 @@ qq AS (SELECT term_id AS query, list_filter(list_distinct({S.tokens('term')}), l
 tt AS (SELECT note_id AS doc, lower(concat_ws(' ', coalesce(title, regexp_replace(regexp_replace(replace(rel, '\\', '/'), '^.*/', '', 's'), '\\.[A-Za-z0-9]{{1,5}}$', '')), substring(kb_summary, 1, 120), array_to_string({S.tags()}, ' '), rel)) AS t FROM note_record),
 raised AS (SELECT query, doc, score * (1 + 0.55 * len(list_filter(q, lambda x: contains(t, x))) / greatest(len(q), 1)) AS score FROM first JOIN qq USING (query) JOIN tt USING (doc)) """ + _OUT + S.top("raised", 10),
     "reranked_top10": _I + _Q + f""", first AS {S.top('bm25', 20)},
-qq AS (SELECT term_id AS query, list_distinct({S.tokens('term')}) AS q FROM canon_term),
-dd AS (SELECT note_id AS doc, list_distinct({S.tokens(S.NOTE_TEXT)}) AS d, importance, date_diff('day', coalesce(updated, created), DATE '{AS_OF}') AS age FROM note_record),
-again AS (SELECT query, doc, 0.4 * len(list_intersect(q, d)) / greatest(len(list_distinct(list_concat(q, d))), 1) + 0.2 * coalesce(importance, 0.5) + 0.1 * 0.5 + 0.1 * CASE WHEN age IS NULL THEN 0.5 WHEN age <= 30 THEN 1 - age / 60 ELSE 0.3 END AS score FROM first JOIN qq USING (query) JOIN dd USING (doc)) """ + _OUT + S.top("again", 10),
+qq AS (SELECT term_id AS query, term, list_distinct({S.tokens('term')}) AS q FROM canon_term),
+dd AS (SELECT note_id AS doc, list_distinct({S.tokens(S.NOTE_TEXT)}) AS d, domain, {S.tags()} AS tags, content_type, importance, date_diff('day', coalesce(updated, created), DATE '{AS_OF}') AS age FROM note_record),
+again AS (SELECT query, doc, 0.4 * len(list_intersect(q, d)) / greatest(len(list_distinct(list_concat(q, d))), 1) + 0.2 * (0.4 * coalesce(domain <> '' AND contains(term, domain), false)::INT + 0.3 * coalesce(len(list_filter(tags, lambda t: t <> '' AND contains(term, t))) > 0, false)::INT + 0.3 * coalesce(content_type <> '' AND contains(lower(term), content_type), false)::INT) + 0.2 * coalesce(importance, 0.5) + 0.1 * 0.5 + 0.1 * CASE WHEN age IS NULL THEN 0.5 WHEN age <= 30 THEN 1 - age / 60 ELSE 0.3 END AS score FROM first JOIN qq USING (query) JOIN dd USING (doc)) """ + _OUT + S.top("again", 10),
     "expanded_top10": _I + ",\n" + S.asked(text="concat_ws(' ', term, array_to_string(aliases, ' '))") + " " + _OUT + S.top("bm25", 10),
     "retrieval_metrics": "WITH " + S.indexed("(SELECT * FROM documents WHERE text IS NOT NULL)", "doc_id", "text") + ",\n" + S.asked("eval_item", "item_id", "question") + f""",
 gold AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM documents, eval_item WHERE contains(text, passage)),
