@@ -15,12 +15,32 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.sources.tables import cut
+from corpusmill.sources.tables import cut, evenly
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` by ``key`` in as many partitions as the session shuffles into: the rows are few and their pairs many, so that partitions merged by the size of the rows would leave the pairs to a few tasks."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+#: Rows of one key that meet in one group; the pairs of a larger key are parted into blocks of so many.
+MEET = 4000
+
+
+def in_blocks(rows: DataFrame, key: str, row: str, most: int = MEET) -> DataFrame:
+    """``rows`` for a join with themselves on ``key, _a, _b`` under ``once``: no group has many more than ``2 * most`` rows, however many have the key.
+
+    A key of more than ``most`` rows is cut into blocks by the hash of the row;
+    each row enters every pair of blocks that its own is part of. The groups are
+    spread over as many partitions as the session shuffles into: the rows are few
+    and their pairs many, so that partitions merged by bytes would leave the
+    pairs to a few tasks.
+    """
+    n = rows.groupBy(key).agg(F.count("*").alias("_m"))
+    rows = rows.join(n, key).withColumn("_k", F.ceil(F.col("_m") / most)).withColumn("_own", F.pmod(F.xxhash64(row), F.col("_k")))
+    rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
+    return evenly(rows.withColumn("_a", F.least("_own", "_j")).withColumn("_b", F.greatest("_own", "_j")).drop("_m", "_k", "_j"), key, "_a", "_b")
+
+
+def once(key: str) -> Column:
+    """Whether rows ``p`` and ``q`` of ``in_blocks`` meet, each pair in one group only."""
+    same = lambda c: F.col(f"p.{c}") == F.col(f"q.{c}")
+    return same(key) & same("_a") & same("_b") & (~same("_own") | (F.col("p._a") == F.col("p._b")))
 
 
 def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFrame:
@@ -38,10 +58,10 @@ def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFr
     alone = F.col("n") - F.count("*").over(Window.partitionBy("id"))
     length = F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1
     prefix = ranked.withColumn("at", F.row_number().over(w) + alone).where(F.col("at") <= length).select("id", "n", "x")
-    prefix = spread(prefix, "x")
+    prefix = in_blocks(prefix, "x", "id")
     p, q = prefix.alias("p"), prefix.alias("q")
     fits = (F.col("p.n") >= F.round(F.col("q.n") * least, 9)) & (F.col("q.n") >= F.round(F.col("p.n") * least, 9))
-    met = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.id") < F.col("q.id")) & fits).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    met = p.join(q, once("x") & (F.col("p.id") < F.col("q.id")) & fits).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     both = met.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb"))).withColumn("jaccard", F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared")))
     return both.where(F.col("jaccard") >= least).select("a", "b", F.col("shared").cast("long").alias("shared"), "jaccard", (F.col("shared") / F.least(F.size("sa"), F.size("sb"))).alias("containment"))
@@ -105,13 +125,13 @@ def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     rest = 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order), F.lit(0.0))
     prefix = v.join(freq, "term").withColumn("rest", rest).where((F.col("rest") >= least * least - 1e-9) & (F.col("df") > 1)).select("doc", "term", "rest")
     prefix = prefix.join(sketches(v), "doc").select("doc", "term", "rest", *(F.element_at("bits", i + 1).alias(f"s{i}") for i in range(BITS // 64)))
-    prefix = spread(prefix, "term")
+    prefix = in_blocks(prefix, "term", "doc")
     p, q = prefix.alias("p"), prefix.alias("q")
     chance = math.acos(least) / math.pi
     most = int(BITS * chance + 4.5 * math.sqrt(BITS * chance * (1 - chance))) + 1
     apart = sum((F.bit_count(F.col(f"p.s{i}").bitwiseXOR(F.col(f"q.s{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col("p.s0").bitwiseXOR(F.col("q.s0"))))
     carried = F.col("p.rest") * F.col("q.rest") >= least * least - 1e-9
-    met = p.join(q, (F.col("p.term") == F.col("q.term")) & (F.col("p.doc") < F.col("q.doc")) & carried & (apart <= most)).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
+    met = p.join(q, once("term") & (F.col("p.doc") < F.col("q.doc")) & carried & (apart <= most)).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
     left = met.join(v.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")), "a")
     dots = left.join(v.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return dots.where(F.col("cosine") >= least)

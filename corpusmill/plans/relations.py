@@ -9,11 +9,12 @@ from corpusmill.functions import text as X
 from corpusmill.operators import graph as G
 from corpusmill.operators import index as I
 from corpusmill.operators import similarity as J
+from corpusmill.operators import sketches as K
 from corpusmill.operators import temporal as T
 from corpusmill.operators.sessions import micros, sessions
 from corpusmill.plans import sqltext as S
 from corpusmill.plans.retrieval import note_text, notes_index
-from corpusmill.sources.tables import cut, table
+from corpusmill.sources.tables import cut, evenly, state_of, table
 
 DAY = 86_400_000_000
 
@@ -22,12 +23,26 @@ def _notes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "note_record")
 
 
+def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    flat = _notes(spark, folder).where("body is not null").select(F.col("note_id").alias("id"), F.regexp_replace("body", r"\s+", "").alias("t"))
+    return K.classes(flat.where("t <> ''"))
+
+
 def near_dups_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of notes whose five-character shingles have Jaccard 0.7 or more, with containment and whether one is a section of the other."""
-    s = _notes(spark, folder).where("body is not null").select("note_id", J.hashed(X.shingles(F.col("body"))).alias("s"))
-    p = J.jaccard_pairs(s, "note_id", "s", 0.7)
-    kind = F.when((F.col("containment") >= 0.9) & (F.col("jaccard") < 0.85), "section-dup").otherwise("near-dup")
-    return p.select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.round("containment", 6).alias("containment"), kind.alias("kind"))
+    """Pairs of notes whose five-character shingles have Jaccard 0.7 or more, with containment and whether one is a section of the other.
+
+    Bodies that are equal but for white space are given by their smallest id; ``near_dups_members`` has the rest.
+    """
+    p = K.near_texts(_copies(spark, folder)[1], 0.7)
+    kind = F.when((F.col("containment") >= 0.9) & (F.col("score") < 0.85), "section-dup").otherwise("near-dup")
+    return p.select("a", "b", F.round("score", 6).alias("jaccard"), F.round("containment", 6).alias("containment"), kind.alias("kind"))
+
+
+def near_dups_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note with a body: the smallest note whose body is equal but for white space, how many are, and how many other bodies are near-duplicates of it."""
+    members, first = _copies(spark, folder)
+    links = K.near_texts(first, 0.7).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("k"))
+    return members.join(links, "rep", "left").select(F.col("id").alias("note_id"), F.col("rep").alias("class_id"), F.col("n").alias("n_copies"), F.coalesce("k", F.lit(0).cast("long")).alias("n_links"))
 
 
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,17 +50,22 @@ def _weights(spark: SparkSession, folder: str) -> DataFrame:
     return i.postings.join(i.terms, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
+def alike_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """``a, b, cosine`` of the pairs of notes with cosine 0.70 or more, joined once an application and state of the table."""
+    return I.stored(spark, ("alike", *state_of(spark, folder, "note_record")), lambda: I.written(J.cosine_pairs(_weights(spark, folder), 0.70), name="alike"))
+
+
 def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of notes with tf-idf cosine 0.75 or more, and whether their domains differ."""
     d = _notes(spark, folder).select("note_id", F.split_part(F.coalesce("domain", F.lit("-")), F.lit("/"), F.lit(1)).alias("d"))
-    p = J.cosine_pairs(_weights(spark, folder), 0.75)
+    p = alike_notes(spark, folder).where("cosine >= 0.75")
     p = p.join(d.select(F.col("note_id").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("note_id").alias("b"), F.col("d").alias("db")), "b")
     return p.select("a", "b", F.round("cosine", 5).alias("cosine"), ((F.col("da") != F.col("db")) & (F.col("da") != "-") & (F.col("db") != "-")).alias("crosses"))
 
 
 def related_band(spark: SparkSession, folder: str) -> DataFrame:
     """For every note at most three others that are alike (0.70) but no copies (0.92), the most alike first."""
-    p = J.cosine_pairs(_weights(spark, folder), 0.70).where("cosine < 0.92")
+    p = alike_notes(spark, folder).where("cosine < 0.92")
     both = p.select("a", "b", "cosine").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     w = Window.partitionBy("a").orderBy(F.round("cosine", 7).desc(), "b")
     return both.withColumn("r", F.row_number().over(w)).where("r <= 3").select(F.col("a").alias("note_id"), F.col("b").alias("related"), F.col("r").cast("long").alias("place"))
@@ -94,7 +114,7 @@ def contradiction_pairs(spark: SparkSession, folder: str) -> DataFrame:
     # a note with a domain meets those of its domain and those without; one without meets all
     x = n.where("change").withColumn("key", F.explode(F.when(F.col("domain").isNull(), F.array(F.lit("all"))).otherwise(F.array(own, F.lit("none")))))
     y = n.withColumn("key", F.explode(F.array(F.coalesce(own, F.lit("none")), F.lit("all"))))
-    p, q = J.spread(x, "key").alias("p"), J.spread(y, "key").alias("q")
+    p, q = evenly(x, "key").alias("p"), evenly(y, "key").alias("q")
     once = (F.col("p.note_id") != F.col("q.note_id")) & (~F.col("q.change") | (F.col("p.note_id") < F.col("q.note_id")))
     shared = F.size(F.array_intersect("p.s", "q.s"))
     jaccard = shared / (F.size("p.s") + F.size("q.s") - shared)
@@ -210,7 +230,7 @@ def tag_cohesion(spark: SparkSession, folder: str) -> DataFrame:
 
 def link_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Alike notes with the signals for a link between them: shared tags, same author, shared link targets, likeness; kept with two signals of which one is structural."""
-    p = J.cosine_pairs(_weights(spark, folder), 0.70)
+    p = alike_notes(spark, folder)
     n = _notes(spark, folder).select("note_id", "author", F.coalesce(F.array_compact("tags"), F.array().cast("array<string>")).alias("tags"), F.coalesce(X.wiki_targets(F.col("body")), F.array().cast("array<string>")).alias("out"))
     side = lambda k: n.select(F.col("note_id").alias(k), F.col("author").alias(f"a{k}"), F.col("tags").alias(f"t{k}"), F.col("out").alias(f"o{k}"))
     p = p.join(side("a"), "a").join(side("b"), "b")
@@ -220,24 +240,27 @@ def link_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    near_dups_jaccard, cosine_pairs, related_band, knn_notes, set_likeness, contradiction_pairs, claim_overlaps, claim_updates, claim_evidence, requery_pairs, requery_rate, gap_sessions,
+    near_dups_jaccard, near_dups_members, cosine_pairs, related_band, knn_notes, set_likeness, contradiction_pairs, claim_overlaps, claim_updates, claim_evidence, requery_pairs, requery_rate, gap_sessions,
     link_degrees, dead_links, orphans, two_hop_reach, link_components, chunk_roots, tag_cohesion, link_gate)}
 
 _SH = "list_distinct(CASE WHEN length(f) = 0 THEN [] WHEN length(f) <= 5 THEN [f] ELSE list_transform(range(1, length(f) - 3), lambda i: substr(f, i, 5)) END)"
 _JAC = """{sets}, x AS (SELECT id, unnest(s) AS x FROM sets), n AS (SELECT id, len(s) AS n FROM sets),
 sh AS (SELECT p.id AS a, q.id AS b, count(*) AS k FROM x p JOIN x q ON p.x = q.x AND p.id < q.id GROUP BY a, b),
 jac AS (SELECT a, b, k, k / (na.n + nb.n - k) AS jaccard, k / least(na.n, nb.n) AS containment FROM sh JOIN n na ON a = na.id JOIN n nb ON b = nb.id)"""
+_NEAR = _JAC.format(sets=f"flat AS (SELECT note_id, regexp_replace(body, '\\s+', '', 'g') AS f FROM note_record WHERE regexp_replace(body, '\\s+', '', 'g') <> ''), sets AS (SELECT id, {_SH} AS s FROM (SELECT min(note_id) AS id, f FROM flat GROUP BY f))")
 _COS = "WITH " + S.indexed() + """, v AS (SELECT doc, term, tf * idf / norm AS w FROM postings JOIN terms USING (term) JOIN docs USING (doc)),
 cos AS (SELECT p.doc AS a, q.doc AS b, sum(p.w * q.w) AS cosine FROM v p JOIN v q ON p.term = q.term AND p.doc < q.doc GROUP BY 1, 2)"""
 _STEM = "regexp_replace(regexp_replace(regexp_replace(replace(rel, '\\', '/'), '^.*/', '', 's'), '\\.[A-Za-z0-9]{1,5}$', ''), '-[0-9a-z]{6}$', '')"
 _PLAIN = "regexp_replace(regexp_replace(body, '(?s)```.*?(?:```|\\z)', '', 'g'), '`[^`\\n]*`', '', 'g')"
+_OUT = f"list_filter(list_transform(regexp_extract_all({_PLAIN}, '\\[\\[([^\\]]+)\\]\\]', 1), lambda x: trim(regexp_extract(x, '^[^#|]*'))), lambda x: x <> '')"
 _EDGES = f"edges AS (SELECT DISTINCT src, dst FROM (SELECT {_STEM} AS src, unnest(list_filter(list_transform(regexp_extract_all({_PLAIN}, '\\[\\[([^\\]]+)\\]\\]', 1), lambda x: trim(regexp_extract(x, '^[^#|]*'))), lambda x: x <> '')) AS dst FROM note_record))"
 _CLAIMS = "claims AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS relation, o_orderstatus AS value, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 30 AS e FROM orders)"
-_UNI = f"list_concat(list_transform(regexp_extract_all(kb_summary, '[A-Za-z0-9]+'), lambda w: lower(w)), {S.han('kb_summary')})"
+_STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _REQ = "req AS (SELECT event_id AS a, lead(event_id) OVER w AS b, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS gap FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))"
 
 SQL = {
-    "near_dups_jaccard": "WITH " + _JAC.format(sets=f"sets AS (SELECT note_id AS id, {_SH} AS s FROM (SELECT note_id, regexp_replace(body, '\\s+', '', 'g') AS f FROM note_record WHERE body IS NOT NULL))") + " SELECT a, b, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, CASE WHEN containment >= 0.9 AND jaccard < 0.85 THEN 'section-dup' ELSE 'near-dup' END AS kind FROM jac WHERE jaccard >= 0.7",
+    "near_dups_jaccard": "WITH " + _NEAR + " SELECT a, b, round(jaccard, 6) AS jaccard, round(containment, 6) AS containment, CASE WHEN containment >= 0.9 AND jaccard < 0.85 THEN 'section-dup' ELSE 'near-dup' END AS kind FROM jac WHERE jaccard >= 0.7",
+    "near_dups_members": "WITH " + _NEAR + ", k AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM jac WHERE jaccard >= 0.7 UNION ALL SELECT b FROM jac WHERE jaccard >= 0.7) GROUP BY id) SELECT note_id, class_id, n AS n_copies, coalesce(k, 0) AS n_links FROM flat JOIN (SELECT f, min(note_id) AS class_id, count(*) AS n FROM flat GROUP BY f) USING (f) LEFT JOIN k ON id = class_id",
     "cosine_pairs": _COS + " SELECT a, b, round(cosine, 5) AS cosine, da <> db AND da <> '-' AND db <> '-' AS crosses FROM cos JOIN (SELECT note_id AS a, split_part(coalesce(domain, '-'), '/', 1) AS da FROM note_record) USING (a) JOIN (SELECT note_id AS b, split_part(coalesce(domain, '-'), '/', 1) AS db FROM note_record) USING (b) WHERE cosine >= 0.75",
     "related_band": _COS + " SELECT a AS note_id, b AS related, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 7) DESC, b) AS place FROM (SELECT a, b, cosine FROM cos UNION ALL SELECT b, a, cosine FROM cos) WHERE cosine >= 0.70 AND cosine < 0.92 QUALIFY place <= 3",
     "knn_notes": "WITH " + S.indexed() + ",\n" + S.asked("note_record", "note_id", S.NOTE_TEXT, "note_id % 100 = 0") + " SELECT query, doc, round(score, 5) AS score FROM cosine WHERE query <> doc QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 7) DESC, doc) <= 3",
@@ -256,7 +279,8 @@ SELECT u AS "user", strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start_time, strfti
     "link_components": f"WITH RECURSIVE {_EDGES}, e AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT u AS stem, u AS c FROM e UNION SELECT r.stem, e.v FROM r JOIN e ON r.c = e.u) SELECT stem, min(c) AS component FROM r GROUP BY stem",
     "chunk_roots": "WITH RECURSIVE c AS (SELECT filename, max(chunk_of) AS up FROM chunk_note WHERE filename IS NOT NULL GROUP BY filename), r AS (SELECT filename, filename AS root, 0 AS hops FROM c UNION ALL SELECT r.filename, c.up, hops + 1 FROM r JOIN c ON c.filename = r.root WHERE c.up IS NOT NULL AND c.up <> r.root AND c.up IN (SELECT filename FROM c) AND hops < 8) SELECT filename, arg_max(root, hops) AS root, max(hops) AS hops FROM r GROUP BY filename",
     "tag_cohesion": f"WITH {_EDGES}, t AS (SELECT DISTINCT {_STEM} AS stem, unnest({S.tags()}) AS tag FROM note_record), n AS (SELECT tag, count(*) AS n FROM t GROUP BY tag HAVING count(*) >= 5), k AS (SELECT p.tag, count(*) AS k FROM edges JOIN t p ON src = p.stem JOIN t q ON dst = q.stem AND p.tag = q.tag WHERE src <> dst GROUP BY p.tag) SELECT tag, n, round(coalesce(k, 0) / (n * (n - 1)), 6) AS cohesion FROM n LEFT JOIN k USING (tag)",
-    "link_gate": _COS + f", nn2 AS (SELECT note_id, author, coalesce({S.tags()}, []) AS tags FROM note_record), g AS (SELECT a, b, list_has_any(x.tags, y.tags) AS shares_tag, coalesce(x.author = y.author, false) AS same_author, round(cosine, 5) >= 0.75 AS near FROM cos JOIN nn2 x ON a = x.note_id JOIN nn2 y ON b = y.note_id WHERE cosine >= 0.70) SELECT * FROM g WHERE (shares_tag OR same_author) AND shares_tag::INT + same_author::INT + near::INT >= 2",
-    "contradiction_pairs": "WITH " + _JAC.format(sets=f"sets AS (SELECT note_id AS id, list_distinct({_UNI}) AS s FROM note_record WHERE kb_summary IS NOT NULL AND domain IS NOT NULL)") + """, nd AS (SELECT note_id AS id, domain, coalesce(updated, created, DATE '9999-12-31') AS day, regexp_matches(kb_summary, '(?i)\\b(?:no longer|replaced|instead|cancelled|changed)\\b|不再|替换|改为|取消') AS change FROM note_record)
-SELECT CASE WHEN first THEN a ELSE b END AS older, CASE WHEN first THEN b ELSE a END AS newer, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.85 THEN 'same' ELSE 'changed' END AS kind FROM (SELECT *, x.day < y.day OR (x.day = y.day AND a < b) AS first FROM jac JOIN nd x ON a = x.id JOIN nd y ON b = y.id WHERE jaccard >= 0.5 AND x.domain = y.domain AND (x.change OR y.change))""",
+    "link_gate": _COS + f", nn2 AS (SELECT note_id, author, coalesce({S.tags()}, []) AS tags, coalesce({_OUT}, []) AS outs FROM note_record), g AS (SELECT a, b, list_has_any(x.tags, y.tags) AS shares_tag, coalesce(x.author = y.author, false) AS same_author, list_has_any(x.outs, y.outs) AS co_ref, round(cosine, 5) >= 0.75 AS near FROM cos JOIN nn2 x ON a = x.note_id JOIN nn2 y ON b = y.note_id WHERE cosine >= 0.70) SELECT * FROM g WHERE (shares_tag OR same_author OR co_ref) AND shares_tag::INT + same_author::INT + co_ref::INT + near::INT >= 2",
+    "contradiction_pairs": f"""WITH parts AS (SELECT *, array_to_string(list_transform(list_filter(string_split(chr(10) || body, chr(10) || '## ')[2:], lambda x: regexp_matches(x, '^[ \t]*(?:结论|决定|要点|现象|根因)')), lambda x: regexp_replace(x, '^[^\r\n]*', '')), chr(10)) AS c FROM note_record WHERE lower(trim(kb_layer)) = 'canon' AND body IS NOT NULL),
+cn AS (SELECT note_id AS id, nullif({_STRIP.format(x='domain')}, '') AS domain, coalesce(updated, created, DATE '9999-12-31') AS day, CASE WHEN {_STRIP.format(x='c')} <> '' THEN c ELSE body END AS t FROM parts), """ + _JAC.format(sets=f"sets AS (SELECT id, list_distinct({S.tokens('t')}) AS s FROM cn)") + f""", nd AS (SELECT id, domain, day, len(list_filter([{', '.join(f"'{w}'" for w in CHANGE)}], lambda w: contains(lower(t), w))) > 0 AS change FROM cn)
+SELECT CASE WHEN first THEN a ELSE b END AS older, CASE WHEN first THEN b ELSE a END AS newer, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.85 THEN 'same' ELSE 'changed' END AS kind FROM (SELECT *, x.day < y.day OR (x.day = y.day AND a < b) AS first FROM jac JOIN nd x ON a = x.id JOIN nd y ON b = y.id WHERE jaccard >= 0.25 AND (x.domain IS NULL OR y.domain IS NULL OR x.domain = y.domain) AND (x.change OR y.change))""",
 }

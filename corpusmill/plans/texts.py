@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.operators import quality as Q
-from corpusmill.operators import similarity as J
 from corpusmill.plans import sqltext as S
-from corpusmill.plans.relations import _weights as weights
+from corpusmill.plans.relations import _COS, alike_notes
 from corpusmill.sources.tables import table
 
 AS_OF = "2026-01-01"
@@ -129,7 +128,7 @@ def triage_score(spark: SparkSession, folder: str) -> DataFrame:
     """The triage score of every note; its likeness to others is the largest tf-idf cosine, from 0.70 on."""
     required = [F.col(c) for c in ("title", "domain", "status", "author", "content_type", "kb_layer", "kb_summary", "created", "updated")]
     s = Q.triage_score(F.col("body"), required, F.col("similarity"), ["复盘", "方案", "原理", "决定", "because", "runbook"])
-    p = J.cosine_pairs(weights(spark, folder), 0.70)
+    p = alike_notes(spark, folder)
     best = p.select(F.explode(F.array("a", "b")).alias("note_id"), "cosine").groupBy("note_id").agg(F.round(F.max("cosine"), 7).alias("similarity"))
     return _notes(spark, folder).where("body is not null").join(best, "note_id", "left").select("note_id", s.cast("long").alias("score"))
 
@@ -262,7 +261,7 @@ list_filter([CASE WHEN source_tier = 5 THEN 'tier 5' END, CASE WHEN len(l) > 0 A
 FROM (SELECT *, {_TRIM.format(x='b')} AS t, regexp_replace(b, '\\s', '', 'g') AS s, {_LINES.format(x='b')} AS l FROM (SELECT *, coalesce(body, '') AS b FROM note_record)))""",
     "content_types": f"SELECT note_id, c.t AS content_type, round(c.c, 2) AS confidence FROM (SELECT note_id, CASE WHEN {_SOLID} < 15 THEN {{'t': 'noise', 'c': 1.0}} WHEN {_DENS} < 0.05 AND {_SOLID} < 200 THEN {{'t': 'noise', 'c': 0.9}} WHEN {_CHAT} >= 3 THEN {_best(Q.CHAT_SIGNALS, 'chat')} ELSE {_best(Q.SIGNALS, 'reference')} END AS c FROM note_record WHERE body IS NOT NULL)",
     "ingest_quality": f"SELECT n.note_id, CASE WHEN {_SOLID} < 15 THEN 'noise' WHEN {_DENS} < 0.05 AND {_SOLID} < 200 THEN 'noise' WHEN {_SOLID} < 200 AND len({_L}) > 0 AND (len(list_filter({_list(Q.CHAT_MARKERS)}, lambda w: contains(body, w))) > 0 OR (len(list_filter({_L}, lambda x: length(x) < 30)) > len({_L}) * 0.7 AND len({_L}) > 2)) THEN 'chat' WHEN {_DENS} >= 0.15 AND coalesce(entropy, 0) >= 0.7 THEN 'knowledge' ELSE 'reference' END AS kind FROM note_record n LEFT JOIN ({_ENT}) e USING (note_id) WHERE body IS NOT NULL",
-    "triage_score": "SELECT note_id, 25 * (" + " + ".join(f"CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN 1 ELSE 0 END" for c in ("title", "domain", "status", "author", "content_type", "kb_layer", "kb_summary", "created", "updated")) + ") // 9 + CASE WHEN d >= 0.15 THEN 25 WHEN d >= 0.10 THEN 18 WHEN d >= 0.05 THEN 10 ELSE 3 END + 25 + least(25, 5 + 3 * len(list_filter(['复盘', '方案', '原理', '决定', 'because', 'runbook'], lambda w: contains(body, w)))) AS score FROM (SELECT *, length(regexp_replace(body, '[^\\p{L}\\p{N}]', '', 'g')) / greatest(length(body), 1) AS d FROM note_record WHERE body IS NOT NULL)",
+    "triage_score": _COS + ", best AS (SELECT note_id, max(cosine) AS sim FROM (SELECT a AS note_id, cosine FROM cos WHERE cosine >= 0.70 UNION ALL SELECT b, cosine FROM cos WHERE cosine >= 0.70) GROUP BY note_id) SELECT note_id, 25 * (" + " + ".join(f"CASE WHEN trim(CAST({c} AS VARCHAR)) <> '' THEN 1 ELSE 0 END" for c in ("title", "domain", "status", "author", "content_type", "kb_layer", "kb_summary", "created", "updated")) + ") // 9 + CASE WHEN d >= 0.15 THEN 25 WHEN d >= 0.10 THEN 18 WHEN d >= 0.05 THEN 10 ELSE 3 END + CASE WHEN sim IS NULL THEN 25 WHEN round(sim, 7) >= 0.85 THEN 0 WHEN round(sim, 7) >= 0.70 THEN 10 ELSE 20 END + least(25, 5 + 3 * len(list_filter(['复盘', '方案', '原理', '决定', 'because', 'runbook'], lambda w: contains(body, w)))) AS score FROM (SELECT *, length(regexp_replace(body, '[^\\p{L}\\p{N}]', '', 'g')) / greatest(length(body), 1) AS d FROM note_record LEFT JOIN best USING (note_id) WHERE body IS NOT NULL)",
     "query_filters": f"SELECT note_id FROM note_record WHERE (lower(trim(domain)) IN ('platform', 'retrieval') OR starts_with(lower(trim(domain)), 'platform/') OR starts_with(lower(trim(domain)), 'retrieval/')) AND coalesce(importance, 0) >= 0.2 AND (list_has_any(list_transform(coalesce({S.tags()}, []), lambda t: lower(trim(t))), ['ops/runbook', 'dev/refactoring', 'runbook', 'know/glossary']) OR content_type IN ('knowledge', 'howto')) AND coalesce(CAST(updated AS VARCHAR), '') >= '2022-01-01'",
     "contract_check": "SELECT note_id, unnest(list_filter([" + ", ".join(f"CASE WHEN {_BLANK.format(c=c)} THEN '{c}: missing' END" for c in ("title", "domain", "status", "created")) + f", CASE WHEN NOT {_BLANK.format(c='status')} AND lower(trim(status)) NOT IN ('draft', 'active', 'stable', 'legacy', 'archived') THEN 'status: unknown' END, CASE WHEN NOT {_BLANK.format(c='kb_layer')} AND lower(trim(kb_layer)) NOT IN ('canon', 'page', 'raw', 'index', 'noise') THEN 'kb_layer: unknown' END, CASE WHEN importance NOT BETWEEN 0 AND 1 THEN 'importance: out of range' END, CASE WHEN source_tier NOT BETWEEN 1 AND 5 THEN 'source_tier: out of range' END, CASE WHEN updated < created THEN 'updated: before created' END], lambda x: x IS NOT NULL)) AS problem FROM note_record",
     "field_usage": " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS notes FROM note_record" for c in ("title", "domain", "status", "author", "content_type", "kb_layer", "kb_summary", "created", "updated", "importance", "source_tier", "body")),
