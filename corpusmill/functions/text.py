@@ -161,15 +161,19 @@ def heading_repaired(s: Column) -> Column:
     return F.regexp_replace(s, r"(?m)^(#{1,6})[ \t]+#{1,6}[ \t]+(\S.*)$", "$1 $2")
 
 
+# Words that hold the place of a text.
+PLACE_HOLDERS = ["todo", "tbd", "待补", "占位", "placeholder", "待补充", "内容待补"]
+
+
 def is_placeholder(s: Column) -> Column:
-    """Whether a text is nothing but marks or one of the words that hold a place; true for null and blank."""
-    bare = F.regexp_replace(F.coalesce(s, F.lit("")), r"^\s+|\s+$", "")
-    return bare.rlike(r"^[\s\-_.·•*]*$") | bare.rlike(r"(?i)^(?:todo|tbd|待补|占位|placeholder|待补充|内容待补)[\s\-_.]*$")
+    """Whether a text is nothing but marks, or one of ``PLACE_HOLDERS`` and marks after it; true for null and blank."""
+    said = F.lower(F.btrim(F.coalesce(s, F.lit("")), F.lit(" \t\n\r\f\u000b")))
+    return (F.translate(said, " \t\n\r\f\u000b-_.·•*", "") == "") | F.rtrim(said, F.lit(" \t\n\r\f\u000b-_.")).isin(PLACE_HOLDERS)
 
 
 def number_in(s: Column, default: float) -> Column:
     """The first number in a text as double, ``default`` where there is none."""
-    return F.coalesce(F.try_cast(F.nullif(F.regexp_extract(s, r"[-+]?\d*\.?\d+", 0), F.lit("")), "double") if hasattr(F, "try_cast") else F.expr("null"), F.lit(default))
+    return F.coalesce(F.regexp_extract(s, r"[-+]?\d*\.?\d+", 0).try_cast("double"), F.lit(default))
 
 
 def parse_tags(s: Column) -> Column:

@@ -14,9 +14,9 @@ def vault(spark: SparkSession, root: str, skip: tuple[str, ...] = (".git", "node
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
     rel = F.regexp_replace(F.col("path"), "^(?:file:)?/*", "/")
-    rel = F.when(rel.startswith(base + "/"), F.substring(rel, len(base) + 2, 4096)).otherwise(rel)
+    rel = F.when(rel.startswith(base + "/"), F.substring(rel, len(base) + 2, 1 << 30)).otherwise(rel)
     out = files.select(rel.alias("rel"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("mtime"))
-    return out.where(~F.exists(F.slice(F.split("rel", "/"), 1, 64), lambda p: p.isin(*skip)))
+    return out.where(~F.exists(F.split("rel", "/"), lambda p: p.isin(*skip)))
 
 
 def frontmatter(text: Column) -> Column:
@@ -36,7 +36,7 @@ def frontmatter(text: Column) -> Column:
     pairs = F.transform(lines, lambda x: F.struct(key(x).alias("k"), F.when(x.endswith(":"), F.lit(None)).otherwise(value(x)).alias("v")))
     # of equal keys the last: those that no later one repeats
     keys = F.transform(pairs, lambda p: p["k"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, 4096), p["k"]))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
     return F.struct(F.when(has, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>")).alias("fm"), F.when(has, body).otherwise(flat).alias("body"))
 
 
@@ -48,20 +48,23 @@ def list_field(value: Column) -> Column:
     return F.when(value.rlike(r"^\s*\[.*\]\s*$"), clean).when(F.trim(value) != "", F.array(F.trim(value))).otherwise(F.array().cast("array<string>"))
 
 
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+# What a page shows no text of, what ends a line, and what characters names stand for; the ampersand last.
+HIDDEN = ("script", "style", "noscript", "head", "header", "footer", "nav")
+BREAKS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "mdash": "—", "ndash": "–", "hellip": "…", "middot": "·", "copy": "©", "amp": "&"}
 
 
 def html_text(html: Column) -> Column:
-    """The text of a page: without scripts, styles, head, header, footer and navigation; blocks as lines, tags as blanks, common entities as characters."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?is)<(head|footer|nav|header)\b[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?i)</?(?:p|div|br|li|tr|h[1-6])\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for k, v in _ENTITIES.items():
-        t = F.replace(t, F.lit(k), F.lit(v))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    """The text of a page: without comments and ``HIDDEN`` elements, ``BREAKS`` as line ends, other tags as blanks, ``ENTITIES`` as characters; no two empty lines in a row."""
+    shown = F.regexp_replace(html, rf"(?is)<!--.*?-->|<({'|'.join(HIDDEN)})(?=[\s>/]).*?</\1\s*>", " ")
+    marked = F.regexp_replace(shown, rf"(?i)</?(?:{'|'.join(BREAKS)})(?=[\s>/])[^<>]*>", "\n")
+    text = F.regexp_replace(marked, r"</?[A-Za-z!][^<>]*>", " ")
+    for name, character in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(character))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(F.regexp_replace(x, r"[ \t\r\xa0]+", " ")))
+    # an empty line stays where the one before it isn't empty
+    kept = F.filter(lines, lambda x, i: (x != "") | (F.get(lines, i - 1) != ""))
+    return F.btrim(F.array_join(kept, "\n"), F.lit(" \n"))
 
 
 def html_title(html: Column) -> Column:
@@ -69,51 +72,6 @@ def html_title(html: Column) -> Column:
     return F.nullif(F.substring(F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"<[^>]+>", "")), 1, 120), F.lit(""))
 
 
-def html_parsed(pages: DataFrame, html: str, out: str = "text") -> DataFrame:
-    """``pages`` with the text of ``html`` by a real parser, for pages that are not well formed; null for null."""
-
-    def run(batches: Iterator) -> Iterator:
-        import re
-        from html.parser import HTMLParser
-
-        import pyarrow as pa
-
-        class Reader(HTMLParser):
-            def __init__(self) -> None:
-                super().__init__()
-                self.parts, self.hidden = [], 0
-
-            def handle_starttag(self, tag: str, attrs: list) -> None:
-                self.hidden += tag in ("script", "style", "head")
-                if tag == "br":
-                    self.parts.append("\n")
-
-            def handle_endtag(self, tag: str) -> None:
-                if tag in ("script", "style", "head") and self.hidden:
-                    self.hidden -= 1
-                if tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    self.parts.append("\n")
-
-            def handle_data(self, data: str) -> None:
-                if not self.hidden:
-                    self.parts.append(data)
-
-        def text(page: str | None) -> str | None:
-            if page is None:
-                return None
-            reader = Reader()
-            reader.feed(page)
-            reader.close()
-            return re.sub(r"\n{3,}", "\n\n", "".join(reader.parts)).strip()
-
-        for batch in batches:
-            at = batch.schema.get_field_index(html)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text(x) for x in batch.column(at).to_pylist()], pa.string())], names=[*batch.schema.names, out])
-
-    rows = pages.drop(out)
-    return rows.mapInArrow(run, T.StructType(rows.schema.fields + [T.StructField(out, T.StringType())]))
-
-
 def mails(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` (``content`` binary) with ``sender, subject, date, text``: the first plain part, else the first HTML part; nulls for what is no mail."""
 
@@ -156,7 +114,7 @@ def json_leaves(rows: DataFrame, data: str, depth: int = 6) -> DataFrame:
     for d in range(depth):
         kind = F.schema_of_variant("_v")
         deep = kind.startswith("OBJECT") | kind.startswith("ARRAY") if d < depth - 1 else F.lit(False)
-        leaf = level.where(~deep).select(*names, F.substring("path", 2, 4096).alias("path"), F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("_v")).otherwise(F.try_variant_get("_v", "$", "string")).alias("value"))
+        leaf = level.where(~deep).select(*names, F.substring("path", 2, 1 << 30).alias("path"), F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("_v")).otherwise(F.try_variant_get("_v", "$", "string")).alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
         if d < depth - 1:
             inner = rows.sparkSession.tvf.variant_explode(F.col("_v").outer()).select("pos", "key", F.col("value").alias("_w"))
@@ -176,9 +134,9 @@ def rendered(table: DataFrame) -> DataFrame:
 
 
 def parsed_time(value: Column) -> Column:
-    """A timestamp (session zone) of the forms that chats export: date and time with - or /, ISO, epoch milliseconds or seconds with a fraction; null for others."""
+    """A timestamp (session zone) of the forms that chats export: date and time with - or /, ISO with or without a zone, a day of eight digits, epoch milliseconds or seconds with a fraction; null for others."""
     v = F.trim(value)
-    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
+    forms = ("yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
     number = v.try_cast("double")
     epoch = F.when(number >= 1e11, F.timestamp_millis(number.cast("long"))).when(number >= 1e8, F.timestamp_micros((number * 1e6).cast("long")))
     return F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in forms), F.when(v.rlike(r"^\d+(\.\d+)?$"), epoch))
@@ -198,10 +156,18 @@ def chat_json(items: DataFrame, item: str = "value") -> DataFrame:
         F.coalesce(first("content", "text", "message", "body"), F.lit("")).alias("content"), first("thread_ts").alias("thread_ts")).where("ts is not null")
 
 
+def chat_items(exports: DataFrame, data: str = "value") -> DataFrame:
+    """``value``: the messages of exports that are an array, or an object with one under ``messages``, ``data``, ``items`` or ``records``, each as JSON; nothing for others."""
+    under = F.coalesce(*(F.get_json_object(data, f"$.{k}") for k in ("messages", "data", "items", "records")))
+    array = F.when(F.ltrim(F.col(data)).startswith("["), F.col(data)).otherwise(under)
+    return exports.select(F.explode(F.from_json(array, "array<string>")).alias("value")).where("value is not null")
+
+
 def chat_text(lines: DataFrame, line: str = "value") -> DataFrame:
-    """The same of lines ``[time] who: text``."""
-    p = lambda k: F.trim(F.regexp_extract(line, r"^\[(\d{4}[-/]\d{2}[-/]\d{2}\s+\d{1,2}:\d{2}(?::\d{2})?)\]\s*(.+?):\s*(.*)", k))
-    return lines.select(parsed_time(p(1)).alias("ts"), p(2).alias("sender"), p(3).alias("content"), F.lit(None).cast("string").alias("thread_ts")).where("ts is not null")
+    """The same of lines ``[time] who: text``; other lines are left out."""
+    told = lines.where(F.startswith(line, F.lit("[")) & F.contains(line, F.lit("]"))).select(F.substring_index(F.substring(line, 2, 1 << 30), "]", 1).alias("at"), F.expr(f"trim(substr({line}, instr({line}, ']') + 1))").alias("said"))
+    told = told.where(F.instr("said", ":") > 1).select(parsed_time(F.col("at")).alias("ts"), F.trim(F.substring_index("said", ":", 1)).alias("sender"), F.expr("trim(substr(said, instr(said, ':') + 1))").alias("content"), F.lit(None).cast("string").alias("thread_ts"))
+    return told.where("ts is not null")
 
 
 def thread_turns(items: DataFrame) -> DataFrame:
