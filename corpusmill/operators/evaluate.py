@@ -23,21 +23,26 @@ def threshold_sweep(scored: DataFrame, score: str, truth: str, low: int, high: i
     return m.select((F.col("t") / 100).alias("threshold"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
 
 
-def bootstrap_interval(values: DataFrame, value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
+#: Cumulative shares of the counts 0 to 5 of a Poisson distribution of mean 1.
+POISSON = (0.3679, 0.7358, 0.9197, 0.9810, 0.9963, 0.9994)
+#: The prime that draws are made below.
+PRIME = 2_147_483_647
+
+
+def bootstrap_interval(values: DataFrame, value: str, row: str, rounds: int = 200) -> DataFrame:
     """One row ``mean, low, high``: the mean and the 2.5 and 97.5 percentile of means of samples drawn with replacement.
 
-    Each row is drawn a Poisson(1) number of times a round, by a hash of its
-    content, place and the round, so that no sample is collected; the rounds are
-    columns of one aggregate. Null values are left out.
+    Each row is drawn a Poisson(1) number of times a round, by a number made of
+    its id ``row`` (a bigint) and the round: the same whatever the partitions and
+    however often a task runs. No sample is collected; the rounds are columns of
+    one aggregate. Null values and ids are left out.
     """
-    v = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    v = v.withColumn("u", F.rand(seed))
-    # Poisson(1) by its distribution function at a uniform number made of the row's own and the round
-    cdf = (0.3679, 0.7358, 0.9197, 0.9810, 0.9963, 0.9994)
+    v = values.where(F.col(value).isNotNull() & F.col(row).isNotNull()).select(F.col(value).cast("double").alias("v"), F.pmod(F.col(row).cast("long"), F.lit(PRIME)).alias("i"))
 
     def weight(k: int):  # noqa: ANN202
-        u = F.pmod(F.xxhash64("u", F.lit(k)), F.lit(1_000_003)) / 1_000_003
-        return sum((F.when(u >= c, 1).otherwise(0) for c in cdf[1:]), F.when(u >= cdf[0], 1).otherwise(0))
+        x = (F.col("i") * 48_271 + (k + 1) * 1_234_567) % PRIME
+        u = (x * x) % PRIME / PRIME
+        return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
 
     sums = v.agg(F.avg("v").alias("mean"), F.array(*(F.sum(F.col("v") * weight(k)) / F.greatest(F.sum(weight(k)), F.lit(1)) for k in range(rounds))).alias("m"))
     s = F.array_sort("m")
@@ -55,9 +60,8 @@ def trailing_run(rows: DataFrame, key: str, order: list[str], bad: str) -> DataF
     return last.select(key).join(after, key, "left").select(key, F.coalesce("run", F.lit(0).cast("long")).alias("run"))
 
 
-def trend(rows: DataFrame, period: str, value: str, alert: float) -> DataFrame:
-    """``period, n, mean, delta, alert``: the mean of each period, its difference to the one before, and whether it is at least ``alert``."""
-    p = rows.groupBy(period).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    w = Window.orderBy(period)
-    p = p.withColumn("delta", F.col("mean") - F.lag("mean").over(w))
-    return p.select(period, "n", F.round("mean", 6).alias("mean"), F.round("delta", 6).alias("delta"), F.coalesce(F.abs(F.round("delta", 6)) >= alert, F.lit(False)).alias("alert"))
+def trend(rows: DataFrame, at: str, unit: str, value: str, alert: float) -> DataFrame:
+    """``period, n, mean, delta, alert``: the mean of each day, ISO week or month (``unit``), by its first day, its difference to the one before, and whether that is at least ``alert``. Null times are left out."""
+    p = rows.where(F.col(at).isNotNull()).groupBy(F.date_trunc(unit, at).cast("date").cast("string").alias("period")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    p = p.withColumn("delta", F.col("mean") - F.lag("mean").over(Window.orderBy("period")))
+    return p.select("period", "n", F.round("mean", 6).alias("mean"), F.round("delta", 6).alias("delta"), F.coalesce(F.abs(F.round("delta", 6)) >= alert, F.lit(False)).alias("alert"))

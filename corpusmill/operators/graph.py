@@ -15,7 +15,8 @@ def components(edges: DataFrame, src: str, dst: str, most_rounds: int = 60) -> D
     smaller ones, to the smallest neighbour there is, until nothing changes;
     about as many rounds as the logarithm of the longest path. Each round is
     written to the shared folder. Loops, repeated edges and either direction are
-    harmless; edges with a null end are left out; no edges give no rows.
+    harmless; edges with a null end are left out; no edges give no rows. A graph
+    that has not settled after ``most_rounds`` is an error.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = e.where("u = v").select("u").distinct()
@@ -33,6 +34,8 @@ def components(edges: DataFrame, src: str, dst: str, most_rounds: int = 60) -> D
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     stars = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     alone = loops.select(F.col("u").alias("id"), F.col("u").alias("component")).join(stars.select("id"), "id", "left_anti")
     return stars.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).unionByName(alone).distinct()

@@ -45,7 +45,7 @@ def sessions(events: DataFrame, actor: str, at: str, event_id: str | None = None
     rows = events.select(
         clean_actor(F.col(actor)).alias("_actor"), micros(F.col(at)).alias("_t"), *([F.col(event_id).alias("_id")] if event_id else [])
     ).where("_actor is not null and _t is not null")
-    rows = rows.withColumn("_slot", F.floor(F.col("_t") / gap) if gap == 0 else F.expr(f"floor(_t div {gap}) - if(_t < 0 and _t % {gap} != 0, 1, 0)"))
+    rows = rows.withColumn("_slot", F.col("_t") if gap == 0 else F.expr(f"floor(_t div {gap}) - if(_t < 0 and _t % {gap} != 0, 1, 0)"))
     keys = ["_actor", "_slot"]
     if event_id:
         once = rows.groupBy(*keys, "_id", "_t").agg(F.count("*").alias("_n"))

@@ -23,8 +23,8 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summary_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each note is among the five best for the summary of another, or for the first line of its body (80 characters) where it has none; kept from 1 on."""
-    n = table(spark, folder, "note_record")
+    """How often each note is among the five best for the summary of another, or for the first line of its body (80 characters) where it has none; kept from 1 on. Asked for every hundredth note, against all."""
+    n = table(spark, folder, "note_record").where("note_id % 100 = 0")
     line = F.substring(F.try_element_at(X.lines(F.col("body")), F.lit(1)), 1, 80)
     asked = F.coalesce(F.when(X.strip(F.col("kb_summary")) != "", F.col("kb_summary")), line)
     q = I.query_terms(n.where(asked.isNotNull()), "note_id", asked)
@@ -68,18 +68,20 @@ def trailing_bad_run(spark: SparkSession, folder: str) -> DataFrame:
     return E.trailing_run(e, "user_id", ["ts", "event_id"], "bad")
 
 
-def monthly_trend(spark: SparkSession, folder: str) -> DataFrame:
-    """The mean value of events by week with its change, and an alert from 5 on."""
-    e = _events(spark, folder).withColumn("week", F.substring(F.date_trunc("week", "ts").cast("string"), 1, 10))
-    return E.trend(e, "week", "value", 5.0)
+def drift_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean value of events by day, by ISO week and by month with its change, and an alert from 5 on."""
+    parts = [E.trend(_events(spark, folder), "ts", unit, "value", 5.0).withColumn("unit", F.lit(unit)) for unit in ("day", "week", "month")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def note_drift(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths loaded more than once: the first and last body's hashes, lengths and whether the first's beginning is still there."""
-    n = table(spark, folder, "note_record").where("body is not null and rel is not null").select("rel", "body", F.struct("recorded_at", "note_id").alias("at"))
-    p = n.groupBy("rel").agg(F.count("*").alias("loads"), F.min_by("body", "at").alias("a"), F.max_by("body", "at").alias("b")).where("loads > 1")
-    changed = F.sha2("a", 256) != F.sha2("b", 256)
-    return p.select("rel", "loads", changed.alias("changed"), F.round(F.char_length("b") / F.greatest(F.char_length("a"), F.lit(1)), 6).alias("length_ratio"), F.contains("b", F.substring("a", 1, 20)).alias("kept"))
+    """Paths loaded more than once: how the last body differs from the first, and whether the first's opening line is still a line of it. Bodies are read, not shuffled but for those of such paths."""
+    n = table(spark, folder, "note_record").where("body is not null and rel is not null")
+    ends = n.select("rel", "note_id", F.struct("recorded_at", "note_id").alias("at")).groupBy("rel").agg(F.count("*").alias("loads"), F.min_by("note_id", "at").alias("a"), F.max_by("note_id", "at").alias("b")).where("loads > 1")
+    side = lambda k: n.select(F.col("note_id").alias(k), F.col("body").alias(f"t{k}"))
+    p = ends.join(side("a"), "a").join(side("b"), "b")
+    opening = F.try_element_at(X.lines(F.col("ta")), F.lit(1))
+    return p.select("rel", "loads", (F.col("ta") != F.col("tb")).alias("changed"), F.round(F.char_length("tb") / F.greatest(F.char_length("ta"), F.lit(1)), 6).alias("length_ratio"), F.coalesce(F.array_contains(X.lines(F.col("tb")), opening), F.lit(False)).alias("kept"))
 
 
 def verdict_trust(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +100,8 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     """Mean value of events with its bootstrap interval."""
-    return E.bootstrap_interval(_events(spark, folder), "value")
+    b = E.bootstrap_interval(_events(spark, folder), "value", "event_id")
+    return b.select(*(F.round(c, 6).alias(c) for c in b.columns))
 
 
 def recall_deck(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,10 +182,12 @@ def semantic_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    summary_hits, hit_decay, weighted_signal, importance_bumps, latest_events, trailing_bad_run, monthly_trend, note_drift, verdict_trust, threshold_sweep, bootstrap_ci, recall_deck, fsrs_curve, fsrs_next, fsrs_fold,
+    summary_hits, hit_decay, weighted_signal, importance_bumps, latest_events, trailing_bad_run, drift_trend, note_drift, verdict_trust, threshold_sweep, bootstrap_ci, recall_deck, fsrs_curve, fsrs_next, fsrs_fold,
     confidence_updates, index_freshness, chat_threads, message_pairs, part_types, heading_chunks, semantic_chunks)}
 
-_HITS = "WITH " + S.indexed() + ",\n" + S.asked("note_record", "note_id", "substring(kb_summary, 1, 60)", "kb_summary IS NOT NULL") + ", other AS (SELECT * FROM bm25 WHERE query <> doc), hits AS (SELECT doc, count(*) AS hits FROM " + S.top("other", 5) + " GROUP BY doc)"
+_LINES = "list_filter(list_transform(string_split_regex(body, '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
+_ASKED = f"coalesce(CASE WHEN regexp_replace(kb_summary, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') <> '' THEN kb_summary END, substring({_LINES}[1], 1, 80))"
+_HITS = "WITH " + S.indexed() + ",\n" + S.asked("note_record", "note_id", _ASKED, "note_id % 100 = 0") + ", other AS (SELECT * FROM bm25 WHERE query <> doc), hits AS (SELECT doc, count(*) AS hits FROM " + S.top("other", 5) + " GROUP BY doc)"
 _AGE = f"date_diff('day', coalesce(updated, created), DATE '{AS_OF}')"
 _BASE = "CASE WHEN coalesce(importance, 0.5) >= 0.9 THEN 180 WHEN coalesce(importance, 0.5) >= 0.5 THEN 30 WHEN coalesce(importance, 0.5) >= 0.3 THEN 14 ELSE 7 END"
 _D0 = "least(10, greatest(1, {w4!r}::DOUBLE - exp({w5!r}::DOUBLE * ({g} - 1)) + 1))"
@@ -203,8 +208,9 @@ SQL = {
     "importance_bumps": _HITS + " SELECT doc, hits, raised, delta FROM (SELECT *, round(raised - importance, 6) AS delta FROM (SELECT doc, hits, coalesce(importance, 0.5) AS importance, round(least(1, coalesce(importance, 0.5) + least(0.30e0, hits * 0.05e0)), 6) AS raised FROM hits JOIN note_record ON doc = note_id)) WHERE delta >= 0.05 ORDER BY delta DESC, hits DESC, doc LIMIT 8",
     "latest_events": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "trailing_bad_run": "WITH g AS (SELECT user_id, max((ts, event_id)) FILTER (event_type = 'purchase') AS good FROM events GROUP BY user_id) SELECT g.user_id, count(e.event_id) AS run FROM g LEFT JOIN events e ON e.user_id = g.user_id AND (good IS NULL OR (e.ts, e.event_id) > good) GROUP BY g.user_id",
-    "monthly_trend": "SELECT week, n, round(mean, 6) AS mean, round(delta, 6) AS delta, coalesce(abs(round(delta, 6)) >= 5, false) AS alert FROM (SELECT *, mean - lag(mean) OVER (ORDER BY week) AS delta FROM (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1))",
-    "note_drift": "SELECT rel, loads, sha256(a) <> sha256(b) AS changed, round(length(b) / greatest(length(a), 1), 6) AS length_ratio, contains(b, substring(a, 1, 20)) AS kept FROM (SELECT rel, count(*) AS loads, arg_min(body, (coalesce(recorded_at, TIMESTAMP '0001-01-01'), note_id)) AS a, arg_max(body, (coalesce(recorded_at, TIMESTAMP '0001-01-01'), note_id)) AS b FROM note_record WHERE body IS NOT NULL AND rel IS NOT NULL GROUP BY rel) WHERE loads > 1",
+    "drift_trend": " UNION ALL ".join(f"SELECT '{u}' AS unit, period, n, round(mean, 6) AS mean, round(delta, 6) AS delta, coalesce(abs(round(delta, 6)) >= 5, false) AS alert FROM (SELECT *, mean - lag(mean) OVER (ORDER BY period) AS delta FROM (SELECT strftime(date_trunc('{u}', ts), '%Y-%m-%d') AS period, count(*) AS n, avg(value) AS mean FROM events WHERE ts IS NOT NULL GROUP BY 1))" for u in ("day", "week", "month")),
+    "bootstrap_ci": f"WITH v AS (SELECT value AS v, event_id % {E.PRIME} AS i FROM events WHERE value IS NOT NULL), x AS (SELECT v, k, (i * 48271 + (k + 1) * 1234567) % {E.PRIME} AS x FROM v, range(200) g(k)), u AS (SELECT v, k, (x * x) % {E.PRIME} / {E.PRIME} AS u FROM x), w AS (SELECT v, k, " + " + ".join(f"CASE WHEN u >= {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in E.POISSON) + " AS w FROM u), m AS (SELECT list_sort(list(m)) AS m FROM (SELECT k, sum(v * w) / greatest(sum(w), 1) AS m FROM w GROUP BY k)) SELECT (SELECT round(avg(v), 6) FROM v) AS mean, round(m[5], 6) AS low, round(m[195], 6) AS high FROM m",
+    "note_drift": f"WITH r AS (SELECT rel, body, count(*) OVER (PARTITION BY rel) AS loads, row_number() OVER (PARTITION BY rel ORDER BY coalesce(recorded_at, TIMESTAMP '0001-01-01'), note_id) AS i FROM note_record WHERE body IS NOT NULL AND rel IS NOT NULL), p AS (SELECT x.rel, x.loads, x.body AS a, y.body AS b FROM r x JOIN r y ON x.rel = y.rel AND x.i = 1 AND y.i = y.loads WHERE x.loads > 1) SELECT rel, loads, a <> b AS changed, round(length(b) / greatest(length(a), 1), 6) AS length_ratio, coalesce(list_contains({_LINES.replace('body', 'b')}, ({_LINES.replace('body', 'a')})[1]), false) AS kept FROM p",
     "verdict_trust": "WITH l AS (SELECT * FROM doc_label WHERE reading_level IS NOT NULL), k AS (SELECT doc_id, reading_level, count(*) AS k FROM l GROUP BY ALL), m AS (SELECT doc_id, arg_max(reading_level, (k, -reading_level)) AS best FROM k GROUP BY doc_id HAVING sum(k) > 1) SELECT rater, count(*) AS n, round(avg(CASE WHEN reading_level = best THEN 1.0 ELSE 0 END), 6) AS trust FROM l JOIN m USING (doc_id) GROUP BY rater",
     "threshold_sweep": "WITH m AS (SELECT t, count(*) FILTER (floor(round(score * 100, 6)) >= t) AS n, count(*) FILTER (floor(round(score * 100, 6)) >= t AND NOT cross_domain) AS tp, count(*) FILTER (NOT cross_domain) AS pos FROM sim_result, range(50, 101, 5) g(t) GROUP BY t), pr AS (SELECT t, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS p, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS r FROM m) SELECT t / 100 AS threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM pr",
     "recall_deck": f"SELECT note_id, overdue, round(coalesce(importance, 0.5) * (1 + greatest(overdue, 0) / greatest(base, 1)), 6) AS urgency FROM (SELECT *, {_BASE} AS base, {_AGE} - {_BASE} AS overdue FROM note_record) WHERE overdue >= 0 ORDER BY urgency DESC, note_id LIMIT 20",

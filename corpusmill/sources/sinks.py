@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.tables import is_written
+
 
 def save_versioned(tables: dict[str, DataFrame], folder: str, version: int) -> str:
     """Writes ``tables`` below a new name in ``folder`` and then, in one step, the row of ``current`` that points to it; readers see the old tables or the new ones."""
@@ -21,10 +23,9 @@ def save_versioned(tables: dict[str, DataFrame], folder: str, version: int) -> s
 
 def load_versioned(spark: SparkSession, folder: str, keys: list[str], version: int) -> dict[str, DataFrame] | None:
     """The newest tables of ``folder``; None where there are none or the newest have another version."""
-    try:
-        row = spark.read.parquet(f"{folder}/current").orderBy(F.desc("at")).first()
-    except Exception:  # noqa: BLE001 - a folder that is not there is no error here
+    if not is_written(spark, f"{folder}/current"):
         return None
+    row = spark.read.parquet(f"{folder}/current").orderBy(F.desc("at")).first()
     if row is None or row.version != version:
         return None
     return {k: spark.read.parquet(f"{folder}/{row.name}/{k}") for k in keys}
@@ -58,9 +59,8 @@ def new_evidence(incoming: DataFrame, stored: DataFrame, domain: str, body: str,
 
 def mermaid(nodes: DataFrame, edges: DataFrame, most: int = 200) -> str:
     """A Mermaid graph of the first ``most`` nodes (``id, label``) by id and the edges (``src, dst, kind``) among them."""
-    kept = nodes.orderBy("id").limit(most)
-    named = {r.id: f"n{i}" for i, r in enumerate(kept.collect())}
-    labels = {r.id: r.label for r in kept.collect()}
-    inside = edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi").distinct().orderBy("src", "dst", "kind")
-    lines = ["graph LR", *(f'  {n}["{labels[i]}"]' for i, n in named.items())]
+    kept = nodes.orderBy("id", "label").limit(most).collect()
+    named = {r.id: f"n{i}" for i, r in enumerate(kept)}
+    inside = edges.where(F.col("src").isin(list(named)) & F.col("dst").isin(list(named))).distinct().orderBy("src", "dst", "kind")
+    lines = ["graph LR", *(f'  {named[r.id]}["{r.label}"]' for r in kept)]
     return "\n".join([*lines, *(f"  {named[r.src]} -->|{r.kind}| {named[r.dst]}" for r in inside.collect())])

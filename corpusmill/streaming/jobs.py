@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusmill.operators.recall import review
+from corpusmill.operators.recall import Memory
 from corpusmill.operators.sessions import clean_actor
+from corpusmill.sources.tables import is_written
 
 
-def session_stream(events: DataFrame, actor: str, at: str, late: str = "1 day", gap_seconds: int = 1800) -> DataFrame:
+def session_stream(events: DataFrame, actor: str, at: str, event_id: str, late: str = "1 day", gap_seconds: int = 1800) -> DataFrame:
     """``actor, start_time, end_time, n_events`` of sessions that the watermark has closed; events later than ``late`` are dropped.
 
-    ``at`` has to be a timestamp. ``session_window`` parts events exactly a gap
-    apart or more; a microsecond is added, so that exactly the gap stays together.
+    ``at`` has to be a timestamp. An event that is delivered again within
+    ``late`` counts once. ``session_window`` parts events exactly a gap apart or
+    more; a microsecond is added, so that exactly the gap stays together.
     """
-    rows = events.select(clean_actor(F.col(actor)).alias(actor), F.col(at).cast("timestamp").alias("at")).where(f"{actor} is not null and at is not null")
-    rows = rows.withWatermark("at", late)
+    rows = events.select(clean_actor(F.col(actor)).alias(actor), F.col(at).cast("timestamp").alias("at"), F.col(event_id).alias("_id")).where(f"{actor} is not null and at is not null")
+    rows = rows.withWatermark("at", late).dropDuplicatesWithinWatermark([actor, "_id"])
     win = F.session_window("at", f"{gap_seconds} seconds 1 microsecond")
     out = rows.groupBy(actor, win).agg(F.min("at").alias("start_time"), F.max("at").alias("end_time"), F.count("*").alias("n_events"))
     return out.select(actor, "start_time", "end_time", "n_events")
@@ -44,6 +46,8 @@ def requery_stream(events: DataFrame, keys: list[str], event: str, at: str, with
         last = state.get if state.exists else None
         out = []
         for e, t in zip(pdf["e"], pdf["at"].astype("int64") // 1000, strict=True):
+            if last == (e, t):  # delivered again
+                continue
             if last is not None and 0 <= t - last[1] <= within_seconds * 1_000_000:
                 out.append((last[0], int(e), (t - last[1]) // 1_000_000))
             if last is None or t >= last[1]:
@@ -64,11 +68,11 @@ def recall_stream(reviews: DataFrame, item: str, day: str, grade: str) -> DataFr
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches)).sort_values(["day", "grade"])
-        now, last = (dict(zip(("stability", "difficulty", "reps", "lapses"), state.get[:4], strict=True)), state.get[4]) if state.exists else (None, None)
+        now, last = (Memory(*state.get[:4]), state.get[4]) if state.exists else (Memory(), None)
         for d, g in zip(pdf["day"], pdf["grade"], strict=True):
-            now, last = review(now, int(g), 0.0 if last is None else float(d) - last), float(d)
-        state.update((float(now["stability"]), float(now["difficulty"]), int(now["reps"]), int(now["lapses"]), last))
-        yield pd.DataFrame([(key[0], now["stability"], now["difficulty"], now["reps"], now["lapses"])], columns=["item", "stability", "difficulty", "reps", "lapses"])
+            now, last = now.after(int(g), 0.0 if last is None else float(d) - last), float(d)
+        state.update((*now, last))
+        yield pd.DataFrame([(key[0], *now)], columns=["item", *Memory._fields])
 
     kind = dict(rows.dtypes)["item"]
     return rows.groupBy("item").applyInPandasWithState(run, f"item {kind}, stability double, difficulty double, reps long, lapses long", "stability double, difficulty double, reps long, lapses long, day double", "update", GroupStateTimeout.NoTimeout)
@@ -98,12 +102,10 @@ def upsert_batches(folder: str, row: str, text: str) -> Callable[[DataFrame, int
 
 
 def _version(spark, folder: str, number: int):  # noqa: ANN001, ANN202
-    while number >= 0:
-        try:
-            return spark.read.parquet(f"{folder}/v={number}")
-        except Exception:  # noqa: BLE001 - no such version
-            number -= 1
-    return None
+    """The last whole version up to ``number``; None where there is none. A read that fails is an error."""
+    while number >= 0 and not is_written(spark, f"{folder}/v={number}"):
+        number -= 1
+    return spark.read.parquet(f"{folder}/v={number}") if number >= 0 else None
 
 
 def read_upserted(spark, folder: str, number: int) -> DataFrame:  # noqa: ANN001

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
-from corpusmill.operators import chunks, evaluate, graph, index, quality, recall, similarity, temporal
+from corpusmill.operators import chunks, evaluate, graph, index, quality, recall, similarity, sketches, temporal
 from corpusmill.operators.sessions import sessions
 
 T0 = dt.datetime(2024, 3, 1, 10, 0, 0)
@@ -128,10 +128,87 @@ def test_index_against_python(spark):
     assert bm[2] == pytest.approx(2 * math.log((4 - 2 + 0.5) / 2.5 + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / avg)))
 
 
-def test_rrf_without_second_list_keeps_first(spark):
-    a = spark.createDataFrame([(1, 5, 0.4), (2, 6, 0.3)], "query long, doc long, score double")
-    b = spark.createDataFrame([(1, 5, 2.0)], "query long, doc long, score double")
-    assert rows_of(index.rrf(a, b)) == [(1, 5, 2 / 61), (2, 6, 0.3)]
+def index_rows(i):
+    return [sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=str) for df in (i.postings, i.terms, i.docs, i.stats)]
+
+
+def test_updated_index_equals_a_full_build(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice("red blue fox hen 中文 词语".split()) for _ in range(rng.randrange(0, 30)))
+    old = {i: text() for i in range(60)} | {70: None}
+    new = {i: t for i, t in old.items() if i % 7} | {3: "changed fox", 70: None, 71: "", 80: "new hen", 5: None}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "d long, t string")
+    first = index.build_index(frame(old), "d", F.col("t"))
+    assert index_rows(index.updated_index(first, frame(new), "d", F.col("t"))) == index_rows(index.build_index(frame(new), "d", F.col("t")))
+    nothing = index.updated_index(first, frame(old).limit(0), "d", F.col("t"))
+    assert nothing.postings.collect() == [] and nothing.stats.first() == (0, 0.0)
+
+
+def test_asked_folders_only(spark):
+    i = index.build_index(spark.createDataFrame([(k, f"w{k} all") for k in range(300)], "d long, t string"), "d", F.col("t"))
+    q = index.query_terms(spark.createDataFrame([(1, "w7 all")], "q long, t string"), "q", F.col("t"))
+    kept = index.asked_postings(i, q)
+    assert kept.select("bucket").distinct().count() <= 2 and index.scores(i, q).count() == 300
+    assert "PartitionFilters: [bucket" in kept._jdf.queryExecution().toString()
+
+
+def test_rrf(spark):
+    both = spark.createDataFrame([(1, 5, 0.4, 9.0), (1, 6, 0.3, 9.5), (2, 6, 0.3, 1.0)], "query long, doc long, cosine double, bm25 double")
+    assert rows_of(index.rrf(both)) == [(1, 5, 1 / 61 + 1 / 62), (1, 6, 1 / 62 + 1 / 61), (2, 6, 2 / 61)]
+    assert rows_of(index.rrf(both, cap=1)) == [(1, 5, 1 / 61), (1, 6, 1 / 61), (2, 6, 2 / 61)]
+
+
+def test_dense_top_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    vec = {i: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)] for i in range(200)}
+    v = spark.createDataFrame([*vec.items(), (900, None)], "vec_id long, embedding array<float>").repartition(5)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {q: [d for _, d in sorted((-dot(vec[q], x), d) for d, x in vec.items() if dot(vec[q], x) > 0)][:7] for q in range(0, 200, 20)}
+    for most in (64_000_000, 200):
+        monkeypatch.setattr(index, "QUERY_BYTES", most)
+        got = {}
+        for r in index.dense_top(v, v.where("vec_id % 20 = 0"), 7).orderBy("rank").collect():
+            got.setdefault(r.query, []).append(r.doc)
+        assert got == {q: d for q, d in want.items() if d}
+    assert index.dense_top(v, v.limit(0), 7).collect() == []
+
+
+def test_candidates_hold_every_passage(spark):
+    texts = {1: "the quick brown fox jumps", 2: "xthe quick brown foxy", 3: "中文的词语很多", 4: "nothing", 5: "quick brown"}
+    i = index.build_index(spark.createDataFrame(list(texts.items()), "d long, t string"), "d", F.col("t"))
+    p = {1: "he quick brown fox", 2: "文的词", 3: "ick bro", 4: "absent words here"}
+    got = {(r.query, r.doc) for r in index.candidates(i, spark.createDataFrame(list(p.items()), "q long, p string"), "q", "p").collect()}
+    assert {(q, d) for q in (1, 2) for d, t in texts.items() if p[q] in t} <= got and not any(q in (3, 4) for q, _ in got)
+
+
+def test_hot_keys_meet_in_blocks(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 6}") for i in range(300)], "id long, k string")
+    b = similarity.in_blocks(rows, "k", "id", most=20)
+    assert max(r["count"] for r in b.groupBy("k", "_a", "_b").count().collect()) < 80
+    p, q = b.alias("p"), b.alias("q")
+    got = [tuple(r) for r in p.join(q, similarity.once("k") & (F.col("p.id") < F.col("q.id"))).select("p.id", "q.id").collect()]
+    k = dict(map(tuple, rows.collect()))
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in k for j in k if i < j and k[i] == k[j]}
+
+
+def test_near_texts_recall(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = {}
+    for i in range(80):
+        w = [rng.choice(words) for _ in range(60)]
+        for k in range(4):
+            texts[len(texts)] = "".join(w)
+            for _ in range(k + 1):
+                w[rng.randrange(60)] = rng.choice(words)
+    rows = spark.createDataFrame([*texts.items(), (900, texts[0]), (901, texts[0])], "id long, t string")
+    members, first = sketches.classes(rows)
+    grams = {i: {t[j : j + 5] for j in range(len(t) - 4)} for i, t in texts.items()}
+    score = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    want = {(a, b) for a in texts for b in texts if a < b and texts[a] != texts[b] and score(a, b) >= 0.7}
+    got = {(r.a, r.b): r.score for r in sketches.near_texts(first, 0.7).collect()}
+    assert len(want) > 200 and len(want & set(got)) >= 0.99 * len(want) and all(got[p] == pytest.approx(score(*p)) for p in got)
+    assert {r.id: (r.rep, r.n) for r in members.collect()}[901] == (0, 3)
 
 
 def test_jaccard_and_cosine_pairs_are_exact(spark):
@@ -201,31 +278,32 @@ def test_components_of_random_graph(spark):
 def test_recall(spark):
     df = spark.createDataFrame([(10.0, 10.0), (0.0, 5.0), (3.0, 0.0)], "t double, s double")
     assert [round(r.r, 6) for r in df.select(recall.retrievability(F.col("t"), F.col("s")).alias("r")).collect()] == [0.9, 1.0, 0.0]
-    one_review = recall.review(None, 3, 0)
-    assert one_review["stability"] == 2.3065 and one_review["reps"] == 1
+    one_review = recall.Memory().after(3, 0)
+    assert one_review.stability == 2.3065 and one_review.reps == 1
     reviews = [("k", float(d), g) for d, g in ((0, 3), (2, 3), (2.2, 1), (9, 4))]
-    state, last = None, None
+    state, last = recall.Memory(), None
     for _, d, g in reviews:
-        state, last = recall.review(state, g, 0 if last is None else d - last), d
+        state, last = state.after(g, 0 if last is None else d - last), d
     rng = random.Random(1)
     rng.shuffle(reviews)
     got = recall.recall_states(spark.createDataFrame(reviews + [(None, 1.0, 2)], "i string, d double, g int"), "i", "d", "g").first()
-    assert (got.stability, got.difficulty, got.reps, got.lapses) == (state["stability"], state["difficulty"], 4, 1)
+    assert (got.stability, got.difficulty, got.reps, got.lapses) == (state.stability, state.difficulty, 4, 1)
     # columns agree with the plain form
     c = spark.createDataFrame([(5.0, 8.0, 4.0, g) for g in (1, 2, 3, 4)], "d double, s double, t double, g int")
     r = recall.retrievability(F.col("t"), F.col("s"))
     for x in c.select("*", recall.next_stability(F.col("d"), F.col("s"), r, F.col("g")).alias("ns"), recall.next_difficulty(F.col("d"), F.col("g")).alias("nd")).collect():
-        want = recall.review({"stability": 8.0, "difficulty": 5.0, "reps": 1, "lapses": 0}, x.g, 4.0)
-        assert (round(x.ns, 4), round(x.nd, 4)) == (want["stability"], want["difficulty"])
+        want = recall.Memory(8.0, 5.0, 1, 0).after(x.g, 4.0)
+        assert (round(x.ns, 4), round(x.nd, 4)) == (want.stability, want.difficulty)
 
 
 def test_evaluate(spark):
     s = spark.createDataFrame([(0.9, True), (0.8, False), (0.7, True), (None, True), (0.3, None)], "s double, y boolean")
     got = {r.threshold: (r.precision, r.recall) for r in evaluate.threshold_sweep(s, "s", "y", 70, 90, 10).collect()}
     assert got == {0.7: (0.666667, 0.666667), 0.8: (0.5, 0.333333), 0.9: (1.0, 0.333333)}
-    v = spark.range(400).select((F.col("id") % 10).cast("double").alias("v"))
-    b = evaluate.bootstrap_interval(v, "v").first()
+    v = spark.range(400).select("id", (F.col("id") % 10).cast("double").alias("v"))
+    b = evaluate.bootstrap_interval(v, "v", "id").first()
     assert b.mean == 4.5 and 4.0 < b.low < 4.5 < b.high < 5.0
+    assert evaluate.bootstrap_interval(v.repartition(7), "v", "id").first() == b
     t = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, True), ("b", 1, False), ("c", 1, True)], "k string, t int, bad boolean")
     assert rows_of(evaluate.trailing_run(t, "k", ["t"], "bad")) == [("a", 2), ("b", 0), ("c", 1)]
 
@@ -240,3 +318,23 @@ def test_paragraph_chunks(spark):
     assert set(got) == {2, 3, 4, 5}
     assert all(len(c) <= 2000 for cs in got.values() for _, c in cs)
     assert got[2] == [(1, "short")] and "".join(c for _, c in sorted(got[4])).count("x") >= 9000
+
+
+def test_boilerplate_and_placeholders(spark):
+    share = lambda t: one(spark, quality.boilerplate, t)
+    assert share("好的，收到。\n我们先看日志\ntext") == pytest.approx(2 / 3) and share("a\na\na\nb") == 0.75 and share("a\na\nb") == 0 and share("") == 0 and share("谢谢你的说明") == 0
+    assert share("\n".join(["x" * 41] * 5)) == 0 and share("\n".join("b a b a b".split())) == 0.6
+    assert [one(spark, X.is_placeholder, t) for t in (" TODO -- ", "· — ".replace("—", "-"), "todo list", "待补", None, "- todo")] == [True, True, False, True, True, False]
+    assert one(spark, lambda c: X.number_in(c, 7.0), "age 42 x") == 42.0 and one(spark, lambda c: X.number_in(c, 7.0), "none") == 7.0
+
+
+def test_components_that_do_not_settle(spark):
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long"), "u", "v", most_rounds=1)
+
+
+def test_gap_of_zero(spark):
+    import datetime as dt
+
+    e = spark.createDataFrame([("a", dt.datetime(2024, 1, 1, 0, 0, s)) for s in (0, 0, 1)], "who string, ts timestamp")
+    assert sorted(r.n_events for r in sessions(e, "who", "ts", gap_seconds=0).collect()) == [1, 2]

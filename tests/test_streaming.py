@@ -15,7 +15,7 @@ SCHEMA = "sender string, ts timestamp, id long"
 
 @pytest.fixture
 def files(spark, tmp_path):
-    rows = [("a", 0, 1), ("A ", 1800, 2), ("a", 3601, 3), ("b", 100, 4), ("b", 101, 5), ("a", 90_000, 6), ("z", 900_000, 7)]
+    rows = [("a", 0, 1), ("A ", 1800, 2), ("a", 3601, 3), ("b", 100, 4), ("b", 101, 5), ("b", 101, 5), ("a", 90_000, 6), ("z", 900_000, 7)]
     folder = str(tmp_path / "in")
     for i in range(0, len(rows), 3):
         spark.createDataFrame([(s, T0 + dt.timedelta(seconds=t), k) for s, t, k in rows[i : i + 3]], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
@@ -30,7 +30,7 @@ def drain(df, mode, tmp_path, name):
 
 
 def test_sessions(spark, files, tmp_path):
-    got = drain(jobs.session_stream(spark.readStream.schema(SCHEMA).parquet(files), "sender", "ts", "2 hours"), "append", tmp_path, "s1")
+    got = drain(jobs.session_stream(spark.readStream.schema(SCHEMA).parquet(files), "sender", "ts", "id", "2 hours"), "append", tmp_path, "s1")
     got = {(r.sender, r.start_time.strftime("%F %T"), r.end_time.strftime("%F %T"), r.n_events) for r in got.collect()}
     want = {tuple(r) for r in sessions(spark.read.parquet(files), "sender", "ts", "id").where("sender <> 'z'").select("sender", "start_time", "end_time", "n_events").collect()}
     assert got == want and ("a", "2024-03-01 10:00:00", "2024-03-01 10:30:00", 2) in got

@@ -45,20 +45,20 @@ def test_contradictions_are_looked_for_in_conclusions_of_bodies(run):
 
 
 HITS = [
-    {"note_id": 1, "kb_summary": "x" * 70 + " rare", "body": "one"},
-    {"note_id": 2, "kb_summary": "  ", "body": "\n  # other words \nrest"},
-    {"note_id": 3, "body": "rare"},
-    {"note_id": 4, "body": "y" * 78 + " z other"},
-    {"note_id": 5, "body": "\n "},
+    {"note_id": 100, "kb_summary": "x" * 70 + " rare", "body": "one"},
+    {"note_id": 200, "kb_summary": "  ", "body": "\n  # other words \nrest"},
+    {"note_id": 300, "body": "rare"},
+    {"note_id": 400, "body": "y" * 78 + " z other"},
+    {"note_id": 500, "body": "\n "},
 ]
 
 
 def test_whole_summaries_and_first_lines_are_asked(run):
-    assert {tuple(r) for r in run("summary_hits", HITS)} == {(3, 1), (4, 1)}
+    assert {tuple(r) for r in run("summary_hits", HITS)} == {(300, 1), (400, 1)}
 
 
 def test_importance_is_raised_by_whole_summaries(run):
-    assert [tuple(r) for r in run("importance_bumps", HITS)] == [(3, 1, 0.55, 0.05), (4, 1, 0.55, 0.05)]
+    assert [tuple(r) for r in run("importance_bumps", HITS)] == [(300, 1, 0.55, 0.05), (400, 1, 0.55, 0.05)]
 
 
 def test_likeness_takes_points_of_the_triage_score(run):
