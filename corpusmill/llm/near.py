@@ -1,33 +1,20 @@
 """Near-duplicate texts by multi-index hashing, and their groups.
 
-The fingerprint of a text is a sequence of MinHash symbols of its character
-windows, cut into segments. Two texts of similarity J agree in each symbol with
-probability J. Every text enters its segments' Hamming balls into one table: a
-segment with each of its symbols left out in turn, so that two segments meet in
-the table exactly if they differ in one symbol at most. Texts that meet have
-their complete fingerprints' distance verified on one bit a symbol, and what is
-left is scored exactly on the windows themselves.
-
-With 32 segments of 8 symbols two texts of similarity 0.7 miss each other with
-probability 8e-5, of 0.75 with 4e-7; the distance that is let through lies 4.5
-standard deviations beyond the expected one at 0.7.
-
-Exact copies are collapsed to a class before any of this, so that a group of
-copies enters the table once, however large it is.
+The fingerprints, their Hamming balls and the verification are those of
+``operators/sketches.py``. Exact copies are collapsed to a class before any of
+this, so that a group of copies enters the table once, however large it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.graph import components
+from corpusmill.operators.sketches import SEGMENTS, SYMBOLS, classes, near_texts
 from corpusmill.sources.tables import cut
 
 WINDOW, LEAST, LONGER_THAN = 5, 0.7, 200
-SEGMENTS, SYMBOLS = 32, 8
 #: Copies of a text that are expanded to pairs of rows; more are given as pairs with the first of them.
 COPIES = 1000
 
@@ -37,85 +24,6 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"(?U)\s+", "")
 
 
-def most_bits_apart(least: float, bits: int) -> int:
-    """The distance that two fingerprints of similarity ``least`` stay within but for 4.5 standard deviations."""
-    p = (1 - least) / 2
-    return int(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5) + 1
-
-
-def fingerprints(texts: DataFrame, window: int = WINDOW, segments: int = SEGMENTS, symbols: int = SYMBOLS) -> DataFrame:
-    """``texts`` (``id`` bigint, ``t`` string) as ``id, keys`` (segments with a symbol left out) ``, bits`` (a bit a symbol)."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        n = segments * symbols
-        rng = np.random.default_rng(20)
-        # 32 bits, which processors multiply and compare in vectors
-        times = rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        plus = rng.integers(0, 1 << 32, n, dtype=np.uint32)
-        place = rng.integers(0, 1 << 63, (segments, symbols), dtype=np.uint64)
-
-        def mix(x):  # noqa: ANN001, ANN202
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            return x ^ (x >> np.uint64(31))
-
-        for batch in batches:
-            keys, bits = [], []
-            for blob in batch.column(1).to_pylist():
-                codes = np.frombuffer(blob.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-                h = np.zeros(max(len(codes) - window + 1, 1), np.uint64)
-                for k in range(min(window, len(codes))):
-                    h = h * np.uint64(0x100000001B3) + codes[k : k + len(h)] if len(codes) >= window else h * np.uint64(0x100000001B3) + codes[k]
-                h = np.unique((mix(h) >> np.uint64(32)).astype(np.uint32))
-                least = np.full(n, np.iinfo(np.uint32).max, np.uint32)
-                for start in range(0, len(h), 512):  # fits the cache
-                    least = np.minimum(least, (times[:, None] * h[None, start : start + 512] + plus[:, None]).min(axis=1))
-                symbol = mix(least.astype(np.uint64) + np.uint64(1)).reshape(segments, symbols)
-                bits.append(np.packbits((symbol & np.uint64(1)).astype(np.uint8).ravel()).view(">i8").astype(np.int64))
-                g = mix(symbol ^ place)
-                keys.append(mix(g.sum(axis=1, keepdims=True, dtype=np.uint64) - g + place).ravel().view(np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (len(x[0]) if x else 0)), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (keys, bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "keys", "bits"])
-
-    return texts.select("id", F.col("t").cast("binary").alias("t")).mapInArrow(run, "id bigint, keys array<bigint>, bits array<bigint>")
-
-
-def scored(pairs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``pairs`` (``a, b, ta, tb``) as ``a, b, score``: shared distinct windows divided by distinct windows in either."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def windows(t: str) -> set[str]:
-            return {t[i : i + window] for i in range(max(1, len(t) - window + 1))}
-
-        last, one = None, set()
-        for batch in batches:
-            scores = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ta != last:
-                    last, one = ta, windows(ta)
-                two = windows(tb)
-                both = len(one & two)
-                scores.append(both / (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["a", "b", "score"])
-
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, score double")
-
-
-def text_classes(texts: DataFrame, text_id: str, text: str, longer_than: int = LONGER_THAN) -> tuple[DataFrame, DataFrame]:
-    """Members ``id, rep, n`` of the classes of equal squeezed texts, and the texts ``id, t`` of the class representatives (smallest ids)."""
-    rows = texts.select(F.col(text_id).cast("long").alias("id"), squeezed(F.col(text)).alias("t")).where(F.col("id").isNotNull() & (F.char_length("t") > longer_than))
-    hashed = rows.select("id", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(3), "t", F.lit(5)).alias("g")).distinct()
-    classes = hashed.groupBy("h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    members = hashed.join(classes, ["h", "g"]).select("id", "rep", "n")
-    first = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    return members, first.dropDuplicates(["id"])
-
-
 def near_classes(texts: DataFrame, text_id: str = "note_id", text: str = "body", least: float = LEAST, window: int = WINDOW, longer_than: int = LONGER_THAN, segments: int = SEGMENTS, symbols: int = SYMBOLS) -> tuple[DataFrame, DataFrame]:
     """Members ``id, rep, n`` of classes of equal texts, and the pairs ``a, b, score`` of representatives at least ``least`` similar, ``a < b``.
 
@@ -124,17 +32,9 @@ def near_classes(texts: DataFrame, text_id: str = "note_id", text: str = "body",
     most ``longer_than`` characters take no part. An id that is repeated with one
     text counts once. Empty tables give no rows; other columns are not read.
     """
-    members, first = text_classes(texts, text_id, text, longer_than)
-    members, first = cut(members), cut(first)
-    prints = cut(fingerprints(first, window, segments, symbols))
-    table = prints.select("id", F.explode("keys").alias("key"))
-    met = table.alias("x").join(table.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    bits = prints.select("id", "bits")
-    apart = F.aggregate(F.zip_with("p", "q", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, k: s + k)
-    close = met.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("q")), "b")
-    close = close.where(apart <= most_bits_apart(least, segments * symbols)).select("a", "b")
-    held = close.join(first.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(first.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    return members, scored(held, window).where(F.col("score") >= least)
+    rows = texts.select(F.col(text_id).cast("long").alias("id"), squeezed(F.col(text)).alias("t"))
+    members, first = classes(rows.where(F.col("id").isNotNull() & (F.char_length("t") > longer_than)))
+    return members, near_texts(first, least, window, segments, symbols).drop("containment")
 
 
 def near_pairs(texts: DataFrame, text_id: str = "note_id", text: str = "body", copies: int = COPIES, **options: float) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import formatting, near
+from corpusmill.operators import sketches
 
 SCHEMA = "note_id long, rel string, body string, first_id long, _t0 string"
 
@@ -85,12 +86,28 @@ def test_groups_and_many_copies(spark):
     assert near.near_pairs(notes(spark, [])).collect() == [] and near.near_groups(notes(spark, [])).collect() == []
 
 
-def test_distance_bound():
-    assert near.most_bits_apart(0.7, 256) == 65
+def test_pairs_and_membership_are_the_whole(spark):
+    rng = random.Random(12)
+    base = body(rng)
+    rows = [(i, None, base) for i in range(12)] + [(20 + i, None, changed(rng, base, 2)) for i in range(3)] + [(30 + i, None, rows_) for i, rows_ in enumerate([body(rng)] * 2)]
+    whole = {(r.a, r.b) for r in near.near_pairs(notes(spark, rows)).collect()}
+    few = {(r.a, r.b) for r in near.near_pairs(notes(spark, rows), copies=5).collect()}
+    of = {r.note_id: r.class_id for r in near.near_groups(notes(spark, rows)).collect()}
+    members = {}
+    for i, c in of.items():
+        members.setdefault(c, []).append(i)
+    grown = {(min(x, y), max(x, y)) for a, b in few for x in members[of[a]] for y in members[of[b]] if x != y} | {(x, y) for m in members.values() for x in m for y in m if x < y}
+    assert len(few) < len(whole) == len(grown) and whole == grown
+
+
+def test_distance_bound(spark):
+    assert sketches.most_apart(0.7, 108) == 52
+    df = spark.createDataFrame([([0x10, -1], [0x01, -1]), ([0, 0], [-1, 0]), ([5, 0], [5, 1 << 60])], "p array<long>, q array<long>")
+    assert [r[0] for r in df.select(sketches.apart("p", "q", 32)).collect()] == [2, 16, 1]
 
 
 def test_fingerprint_is_stable(spark):
     t = spark.createDataFrame([(1, "x" * 300), (2, "abcde" * 60)], "id long, t string")
-    a, b = (near.fingerprints(t.repartition(n)).orderBy("id").collect() for n in (1, 2))
-    assert a == b and len(a[0]["keys"]) == 256 and len(a[0]["bits"]) == 4
+    a, b = (sketches.fingerprints(t.repartition(n)).orderBy("id").collect() for n in (1, 2))
+    assert a == b and len(a[0]["keys"]) == 108 and len(a[0]["bits"]) == 7 and [r["size"] for r in a] == [1, 5]
     assert t.select(near.squeezed(F.lit("A b　C"))).first()[0] == "abc"
