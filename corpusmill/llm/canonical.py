@@ -15,10 +15,10 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.tables import cut, evenly
+
 #: Spellings held by one trie; a longer list is searched in blocks of this size.
 BLOCK = 50_000
-#: Values remembered by a task, so that a frequent value is searched once.
-REMEMBERED = 100_000
 
 
 def bare(value: str) -> str:
@@ -69,63 +69,64 @@ class Trie:
         return sorted((s, e) for e, s in found.items())
 
 
-def to_canonical(values: DataFrame, entries: DataFrame, kind: str, value: str) -> DataFrame:
-    """``values`` with ``term_id`` (bigint): the entry of the same kind that the value equals with the fewest slips.
+def candidates(values: DataFrame, entries: DataFrame, kind: str, value: str) -> DataFrame:
+    """``kind, value, term_id, slips``: for every distinct value all entries of its kind within the allowance of their spelling.
 
     ``entries`` has ``term_id, kind, term, aliases``. Compared are letters and
-    digits only, without case and full-width forms; of entries with equally few
-    slips the smallest id wins. ``term_id`` is 0 where no entry is near enough,
-    for a null value or kind, and for a value without a letter or digit. Null
-    terms and aliases are left out; an empty list maps everything to 0. Columns
-    named ``term_id`` or ``_slips`` in ``values`` are replaced. Every row stays,
-    repeated rows included; nothing is shuffled.
-
-    The list goes to the tasks in tries of at most ``BLOCK`` spellings each, one
-    pass a block, so that no task holds more than that however long the list is.
+    digits only, without case and full-width forms; an entry counts once, with
+    the fewest slips of its term and aliases. Null values and kinds, values
+    without a letter or digit, and null terms and aliases have no row; neither
+    has anything where the list or the values are empty.
+
+    Each distinct value is searched once, evenly over all tasks. The list goes
+    to them in tries of at most ``BLOCK`` spellings each, one pass a block, so
+    that no task holds more than that however long the list is.
     """
     spelled = entries.where("term_id is not null and kind is not null").select(
         F.col("term_id").cast("long").alias("term_id"), "kind", F.explode(F.array_distinct(F.concat(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("s")
     ).where("s is not null").distinct()
     n = spelled.count()
     blocks = max(1, -(-n // BLOCK))
-    out = values.drop("term_id", "_slips")
-    names = out.columns
-    out = out.select("*", F.lit(0).cast("long").alias("term_id"), F.lit(99).alias("_slips"))
-    schema = out.schema
-    at_kind, at_value = names.index(kind), names.index(value)
+    once = values.select(F.col(kind).alias("kind"), F.col(value).alias("value")).where("kind is not null and value is not null").distinct().withColumn("part", F.xxhash64("kind", "value"))
+    once = evenly(once, "part").select("kind", "value")
+    if blocks > 1:
+        once = cut(once)
+    out = None
     for b in range(blocks):
-        block = [(r.kind, r.s, r.term_id) for r in spelled.where(F.expr(f"pmod(xxhash64(kind, s), {blocks}) = {b}")).toLocalIterator()]
+        block = values.sparkSession.sparkContext.broadcast([(r.kind, r.s, r.term_id) for r in spelled.where(F.expr(f"pmod(xxhash64(kind, s), {blocks}) = {b}")).toLocalIterator()])
 
         def search(batches: Iterator, block=block) -> Iterator:
             import pyarrow as pa
 
-            tries: dict[str, Trie] = {}
             by_kind: dict[str, list] = {}
-            for k, s, e in block:
+            for k, s, e in block.value:
                 if text := bare(s):
                     by_kind.setdefault(k, []).append((text, e))
-            for k, found in by_kind.items():
-                tries[k] = Trie(found)
-            known: dict[tuple, tuple] = {}
+            tries = {k: Trie(found) for k, found in by_kind.items()}
             for batch in batches:
-                ids, counts = [], []
-                old_ids, old_counts = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-                for k, v, e, s in zip(batch.column(at_kind).to_pylist(), batch.column(at_value).to_pylist(), old_ids, old_counts, strict=True):
-                    best = known.get((k, v))
-                    if best is None:
-                        text = bare(v) if v is not None and k in tries else ""
-                        best = next(iter(tries[k].within(text)), (99, 0)) if text else (99, 0)
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[k, v] = best
-                    if best[1] and (best[0], best[1]) < (s, e or 1 << 62):
-                        s, e = best
-                    ids.append(e)
-                    counts.append(s)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(ids, pa.int64()), pa.array(counts, pa.int32())], names=batch.schema.names)
-
-        out = out.mapInArrow(search, schema)
-    return out.drop("_slips")
+                found = []
+                for i, (k, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    if k in tries and (text := bare(v)):
+                        found += [(i, e, s) for s, e in tries[k].within(text)]
+                at = pa.array([i for i, _, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([e for _, e, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int32())], names=["kind", "value", "term_id", "slips"])
+
+        part = once.mapInArrow(search, "kind string, value string, term_id bigint, slips int")
+        out = part if out is None else out.unionByName(part)
+    return out if blocks == 1 else out.groupBy("kind", "value", "term_id").agg(F.min("slips").alias("slips"))
+
+
+def to_canonical(values: DataFrame, entries: DataFrame, kind: str, value: str) -> DataFrame:
+    """``values`` with ``term_id`` (bigint): the entry of the same kind that the value equals with the fewest slips.
+
+    Of ``candidates`` with equally few slips the smallest id wins. ``term_id`` is
+    0 where there is none. A column named ``term_id`` in ``values`` is replaced.
+    Every row stays, repeated rows included.
+    """
+    best = candidates(values, entries, kind, value).groupBy("kind", "value").agg(F.min(F.struct("slips", "term_id")).alias("_best")).select(F.col("kind").alias("_kind"), F.col("value").alias("_value"), F.col("_best.term_id").alias("term_id"))
+    rows = values.drop("term_id")
+    out = rows.join(best, (F.col(kind) == F.col("_kind")) & (F.col(value) == F.col("_value")), "left")
+    return out.select(*rows.columns, F.coalesce("term_id", F.lit(0).cast("long")).alias("term_id"))
 
 
 def typed_values(notes: DataFrame, note_id: str = "note_id", domain: str = "domain", tags: str = "tags") -> DataFrame:
