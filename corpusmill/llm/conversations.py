@@ -18,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.tables import cut
+
 #: Messages of one session that one task sorts; longer sessions are cut in time.
 STRETCH = 100_000
 
@@ -137,7 +139,8 @@ def conversation_turns(sessions: DataFrame, messages: DataFrame, parts: DataFram
     m = m.select("sid", "t", "id", "parent", kind.alias("kind")).join(facts, "sid")
     span = F.greatest(F.col("t1") - F.col("t0") + 1, F.lit(1)).cast("double")
     chunk = F.when(F.lit(reply_to is None) & (F.col("size") > stretch), F.coalesce(F.floor((F.col("t") - F.col("t0")) / span * F.ceil(F.col("size") / stretch)), F.lit(-1))).otherwise(0)
-    turns = _ordered(m.withColumn("chunk", chunk.cast("long")).withColumn("t", F.coalesce(F.col("t").cast("long"), F.lit(-(1 << 62)))))
+    # used twice, and sorted in Python: written once
+    turns = cut(_ordered(m.withColumn("chunk", chunk.cast("long")).withColumn("t", F.coalesce(F.col("t").cast("long"), F.lit(-(1 << 62))))))
     summary = turns.groupBy("sid", "chunk").agg(
         F.max(F.when(F.col("n") > 0, F.col("n")).otherwise(0)).alias("turns"), F.max(F.when(F.col("n") == 1, F.col("kind"))).alias("first"), F.max(F.when((F.col("n") > 0) & F.col("next_kind").isNull(), F.col("kind"))).alias("last"),
         F.max((F.col("kind") == "c") | F.coalesce((F.col("kind") == "u") & (F.col("next_kind") == "u"), F.lit(False))).alias("bad"))
