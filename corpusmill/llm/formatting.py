@@ -60,7 +60,9 @@ def encoded(records: DataFrame, record_id: str, columns: list[str], structured:
         rows = rows.join(dictionary.alias("d"), F.col(f"r._c{i}") == F.col("d._k")).drop("_k", f"_c{i}")
     whole = F.array(*(F.col(f"_t{i}") for i in range(len(columns))))
     missing = F.exists(whole, lambda t: t.isNull())
-    return rows.select("_id", F.when(~missing, fingerprint(F.to_json(whole))).alias("t"))
+    # with the sizes, as hashes of arrays don't tell where one ends
+    parts = [p for i in range(len(columns)) for p in (F.size(f"_t{i}"), F.col(f"_t{i}"))]
+    return rows.select("_id", F.when(~missing, fingerprint(*parts)).alias("t"))
 
 
 def format_copies(records: DataFrame, record_id: str = "note_id", columns: tuple = ("rel", "body"), structured: tuple = ("body",)) -> DataFrame:
@@ -82,6 +84,7 @@ def format_copies(records: DataFrame, record_id: str = "note_id", columns: tuple
     tuples = cut(encoded(records, record_id, list(columns), list(structured)).distinct())
     groups = tuples.where("t is not null").groupBy("t").agg(F.min("_id").alias("first_id"), F.count("*").alias("n_copies"))
     groups = groups.where("n_copies > 1")
-    return tuples.join(groups, "t", "left").select(
-        F.col("_id").alias(record_id), F.coalesce("first_id", "_id").alias("first_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies")
-    )
+    # records without a tuple take no part in the join: they would all be one key
+    of, one = F.col("_id").alias(record_id), F.lit(1).cast("long")
+    joined = tuples.where("t is not null").join(groups, "t", "left").select(of, F.coalesce("first_id", "_id").alias("first_id"), F.coalesce("n_copies", one).alias("n_copies"))
+    return joined.unionByName(tuples.where("t is null").select(of, F.col("_id").alias("first_id"), one.alias("n_copies")))
