@@ -47,8 +47,8 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _six(score: str) -> Column:
-    """A score with six decimals, from the nine that it is ranked by: a half that doubles miss by their last bit is a half."""
-    return F.round(F.round(score, 9), 6).alias(score)
+    """A score with six decimals; a half that doubles miss by their last bit is a half."""
+    return F.round(F.round(score, 12), 6).alias(score)
 
 
 def _top(scores: DataFrame, k: int = 10) -> DataFrame:
