@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,30 +18,33 @@ def latin(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit("[A-Za-z0-9]+"), F.lit(0))
 
 
+def low_latin(s: Column) -> Column:
+    """The same in lower case. Letters are translated one by one: a whole text's lower case may gain ASCII letters from others."""
+    return F.regexp_extract_all(F.translate(s, string.ascii_uppercase, string.ascii_lowercase), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def han(s: Column) -> Column:
     """Han characters, in order."""
-    return F.filter(F.split(F.regexp_replace(s, NOT_HAN, ""), ""), lambda c: c != "")
+    return F.regexp_extract_all(s, F.lit(HAN), F.lit(0))
 
 
 def tokens(s: Column) -> Column:
-    """Index tokens: lower-case Latin runs, then each Han character and each pair of neighbours among them.
+    """Index tokens: lower-case Latin runs, then the Han characters, then the pairs of neighbours among them.
 
     Pairs reach across whatever stood between the two characters. An empty text gives an empty array.
     """
     flat = F.regexp_replace(s, NOT_HAN, "")
-    each, following = F.filter(F.split(flat, ""), lambda c: c != ""), F.filter(F.split(F.substring(flat, 2, 1 << 30), ""), lambda c: c != "")
-    pairs = F.zip_with(each, following, lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, F.concat(a, b))))
-    return F.concat(F.transform(latin(s), F.lower), F.flatten(pairs))
+    return F.concat(low_latin(s), F.regexp_extract_all(flat, F.lit("."), F.lit(0)), F.regexp_extract_all(flat, F.lit("(?=(..))"), F.lit(1)))
 
 
 def unigrams(s: Column) -> Column:
     """Lower-case Latin runs, then Han characters one by one."""
-    return F.concat(F.transform(latin(s), F.lower), han(s))
+    return F.concat(low_latin(s), han(s))
 
 
 def runs(s: Column) -> Column:
     """Lower-case Latin runs and runs of two or more Han characters, in order of kind."""
-    return F.concat(F.transform(latin(s), F.lower), F.regexp_extract_all(s, F.lit(HAN + "{2,}"), F.lit(0)))
+    return F.concat(low_latin(s), F.regexp_extract_all(s, F.lit(HAN + "{2,}"), F.lit(0)))
 
 
 def han_first(s: Column) -> Column:
@@ -94,15 +99,15 @@ def solid_length(s: Column) -> Column:
     return F.char_length(F.translate(s, "\n ", ""))
 
 
-def present(s: Column, words: list[str]) -> Column:
-    """Those of ``words`` that the text contains."""
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(s, w))
+def present(s: Column, words: list[str], count: bool = True) -> Column:
+    """How many of ``words`` the text contains, or, without ``count``, their characters together."""
+    return sum((F.when(F.contains(s, F.lit(w)), 1 if count else len(w)).otherwise(0) for w in words[1:]), F.when(F.contains(s, F.lit(words[0])), 1 if count else len(words[0])).otherwise(0))
 
 
 def keyword_density(s: Column, words: list[str]) -> Column:
     """Summed lengths of the distinct words present by ``solid_length``; 0 where nothing is solid."""
     n = solid_length(s)
-    return F.when(n > 0, F.aggregate(present(s, sorted(set(words))), F.lit(0), lambda a, w: a + F.char_length(w)) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, present(s, sorted(set(words)), count=False) / n).otherwise(F.lit(0.0))
 
 
 def lines(s: Column) -> Column:
@@ -199,13 +204,11 @@ def entropy(s: Column) -> Column:
 
     Characters are sorted, so that equal ones are runs of some length k. With n
     characters the entropy is ``log2 n`` less the mean of ``log2 k``; only the runs
-    are added up, one step a character.
+    are added up, one step for each different character.
     """
-    chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
-    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("h"), F.lit(0.0).alias("n"), F.lit(0.0).alias("kinds"))
-    klogk = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(F.lit(0.0))
-    step = lambda a, c: F.struct(
-        c.alias("c"), F.when(c == a["c"], a["k"] + 1).otherwise(F.lit(1.0)).alias("k"), (a["h"] + F.when(c == a["c"], F.lit(0.0)).otherwise(klogk(a["k"]))).alias("h"),
-        (a["n"] + 1).alias("n"), (a["kinds"] + F.when(c == a["c"], F.lit(0.0)).otherwise(F.lit(1.0))).alias("kinds"))
-    last = lambda a: F.when(a["kinds"] <= 1, F.lit(0.0)).otherwise((F.log2(a["n"]) - (a["h"] + klogk(a["k"])) / a["n"]) / F.log2(a["kinds"]))
-    return F.aggregate(chars, start, step, last)
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(chars), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    n, kinds = F.char_length(s).cast("double"), F.size(runs).cast("double")
+    log = lambda r: F.char_length(r) * F.log2(F.char_length(r).cast("double"))
+    mean = F.aggregate(runs, F.lit(0.0), lambda a, r: a + log(r)) / n
+    return F.when(kinds <= 1, F.lit(0.0)).otherwise((F.log2(n) - mean) / F.log2(kinds))

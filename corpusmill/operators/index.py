@@ -135,13 +135,14 @@ def scores(index: Index, q: DataFrame, k1: float = K1, b: float = B) -> DataFram
     """
     rare = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     known = q.join(index.terms, "term").crossJoin(index.stats).select("query", "term", "idf", (F.col("qtf") * F.col("idf")).alias("w"), (rare * F.col("qtf")).alias("r"), "avgdl")
-    # the weights of all queries are few next to the postings, and read twice
-    known = cut(known)
+    # the weights of all queries are few next to the postings
     size = known.groupBy("query").agg(F.sqrt(exact_sum(F.col("w") * F.col("w"))).alias("qnorm"))
+    known = cut(known.join(size, "query").select("query", "term", (F.col("idf") * F.col("w") / F.col("qnorm")).alias("w"), "r", "avgdl"))
     hit = asked_postings(index, q).join(known, "term")
     part = F.col("r") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
-    sums = hit.groupBy("query", "doc").agg(exact_sum(F.col("tf") * F.col("idf") * F.col("w")).alias("dot"), exact_sum(part).alias("bm25"), F.first("norm").alias("norm"))
-    return sums.join(size, "query").select("query", "doc", (F.col("dot") / F.col("qnorm") / F.col("norm")).alias("cosine"), "bm25")
+    # whole numbers, whose sum is the same in any order
+    whole = lambda x, unit: F.sum(F.round(x * unit).cast("long")) / unit
+    return hit.groupBy("query", "doc").agg(whole(F.col("tf") * F.col("w") / F.col("norm"), 1e15).alias("cosine"), whole(part, 1e12).alias("bm25"))
 
 
 def cosine(index: Index, q: DataFrame) -> DataFrame:

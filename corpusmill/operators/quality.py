@@ -52,7 +52,7 @@ def gate(body: Column, status: Column, tier: Column) -> Column:
 
 def chat_lines(body: Column) -> Column:
     """Lines that look like a message with its time and sender."""
-    return F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(CHAT_LINE)))
+    return F.regexp_count(body, F.lit(rf"(?m)^[^\n]*?(?:{CHAT_LINE})[^\n]*"))
 
 
 def content_type(body: Column) -> Column:
@@ -60,7 +60,7 @@ def content_type(body: Column) -> Column:
     n, density = X.solid_length(body), X.keyword_density(body, ALL_SIGNALS)
 
     def best(signals: dict[str, list[str]], fallback: str) -> Column:
-        counts = F.array(*(F.struct(F.size(X.present(body, w)).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, w) in enumerate(signals.items())))
+        counts = F.array(*(F.struct(X.present(body, w).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, w) in enumerate(signals.items())))
         top = F.array_max(counts)
         return F.when(top["n"] > 0, F.struct(top["k"].alias("content_type"), F.least(0.5 + 0.1 * top["n"], F.lit(0.95)).alias("confidence"))).otherwise(F.struct(F.lit(fallback).alias("content_type"), F.lit(0.5).alias("confidence")))
 
@@ -73,7 +73,7 @@ def ingest_quality(body: Column) -> Column:
     n, density = X.solid_length(body), X.keyword_density(body, ALL_SIGNALS)
     lines = X.lines(body)
     short = F.size(F.filter(lines, lambda x: F.char_length(x) < 30))
-    chatty = (F.size(X.present(body, CHAT_MARKERS)) > 0) | ((short > F.size(lines) * 0.7) & (F.size(lines) > 2))
+    chatty = (X.present(body, CHAT_MARKERS) > 0) | ((short > F.size(lines) * 0.7) & (F.size(lines) > 2))
     return F.when(n < 15, "noise").when((density < 0.05) & (n < 200), "noise").when((n < 200) & (F.size(lines) > 0) & chatty, "chat").when((density >= 0.15) & (X.entropy(body) >= 0.7), "knowledge").otherwise("reference")
 
 
@@ -116,7 +116,7 @@ def triage_score(text: Column, required: list[Column], similarity: Column, keywo
     d = X.signal_share(text)
     dense = F.when(d >= 0.15, 25).when(d >= 0.10, 18).when(d >= 0.05, 10).otherwise(3)
     unlike = F.when(similarity.isNull(), 25).when(similarity >= 0.85, 0).when(similarity >= 0.70, 10).otherwise(20)
-    value = F.least(F.lit(25), 5 + 3 * F.size(X.present(text, keywords)))
+    value = F.least(F.lit(25), 5 + 3 * X.present(text, keywords))
     return F.floor(25 * there / len(required)) + dense + unlike + value
 
 

@@ -1,23 +1,19 @@
-"""Similarity joins without comparing every pair.
+"""Similarity joins of sets and of vectors.
 
-Both joins order the elements of a set or vector from the rarest to the most
-frequent in the corpus and keep a prefix: so much that two rows that are
+The join of sets orders the elements of a set from the rarest to the most
+frequent in the corpus and keeps a prefix: so much that two rows that are
 similar enough have to share an element of both prefixes. Only rows that meet
 there are scored. Prefixes hold rare elements, so no frequent one is ever a
-join key unless a row has nothing else.
+join key unless a row has nothing else. The join of vectors multiplies blocks.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.sources.tables import cut, evenly
 
-
 #: Rows of one key that meet in one group; the pairs of a larger key are parted into blocks of so many.
 MEET = 4000
 
@@ -67,71 +63,59 @@ def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFr
     return both.where(F.col("jaccard") >= least).select("a", "b", F.col("shared").cast("long").alias("shared"), "jaccard", (F.col("shared") / F.least(F.size("sa"), F.size("sb"))).alias("containment"))
 
 
-#: Bits of the sketch that every joined row carries.
-BITS = 256
-
-
-def sketches(weights: DataFrame) -> DataFrame:
-    """``doc, bits``: the sides of 256 random planes that each vector of ``doc, term, w`` lies on, as four bigints. The planes are hashes of the terms."""
-
-    def run(batches: Iterator) -> Iterator:
-        from statistics import NormalDist
-
-        import numpy as np
-        import pyarrow as pa
-
-        # a plane's coordinate for a term is the normal quantile of a byte of the term's hashes
-        normal = np.array([NormalDist().inv_cdf((k + 0.5) / 256) for k in range(256)], np.float32)
-        seeds = np.random.default_rng(11).integers(0, 1 << 63, BITS // 8, dtype=np.uint64)
-        for batch in batches:
-            docs, rows = batch.column(0), []
-            lists = batch.column(1)
-            for i in range(len(lists)):
-                v = lists[i].values
-                h = v.field(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None] ^ seeds[None, :]
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h ^= h >> np.uint64(31)
-                w = v.field(1).to_numpy(zero_copy_only=False).astype(np.float32)
-                side = np.zeros(BITS, np.float32)
-                for start in range(0, len(h), 4096):
-                    side += w[start : start + 4096] @ normal[h[start : start + 4096].view(np.uint8).reshape(-1, BITS)]
-                rows.append(np.packbits(side > 0).view(">i8").astype(np.int64))
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (BITS // 64)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([docs, bits], names=["doc", "bits"])
-
-    vectors = weights.groupBy("doc").agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("w").cast("double").alias("w"))).alias("v"))
-    kind = dict(weights.dtypes)["doc"]
-    return vectors.mapInArrow(run, f"doc {kind}, bits array<bigint>")
+#: Columns that terms are hashed into, documents of a block, and of a product.
+COLUMNS, BLOCK, PRODUCT = 8192, 2048, 1024
 
 
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     """``a, b, cosine`` of every pair of documents with cosine at least ``least`` (above 0); ``a < b``.
 
-    ``weights`` has ``doc, term, w`` with one row a term and positive weights; the
-    vectors are normalised here. A suffix whose norm is below ``least`` cannot
-    carry a pair alone, so the prefix ends where the rest's norm falls below it;
-    and at the first term that a pair shares, both rests together have to be able
-    to carry it. Every row of the join has its document's sketch with it, and
-    pairs whose sketches are further apart than 4.5 standard deviations beyond
-    what ``least`` leads to expect (three pairs in a million at ``least`` itself) go
-    no further, so that frequent terms cost comparisons and no shuffled pairs.
+    ``weights`` has ``doc, term, w`` with one row a term and positive weights; ids
+    are bigints. Vectors are normalised, and their terms hashed into ``COLUMNS``
+    columns: as no weight is negative, terms that share a column can only raise
+    a product, so pairs whose hashed product is below ``least`` are out, and what
+    is left is added up exactly.
+
+    Documents meet in blocks, each pair of blocks one matrix product in a task
+    that holds ``2 * BLOCK`` vectors; nothing but close pairs leaves it. The
+    arithmetic still grows as the square of the documents, and the shuffled
+    vectors as that divided by ``BLOCK``: for millions of documents give each
+    topic or domain to this operator by itself.
     """
     norm = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     v = cut(weights.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w")))
-    freq = v.groupBy("term").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rest = 1 - F.coalesce(F.sum(F.col("w") * F.col("w")).over(order), F.lit(0.0))
-    prefix = v.join(freq, "term").withColumn("rest", rest).where((F.col("rest") >= least * least - 1e-9) & (F.col("df") > 1)).select("doc", "term", "rest")
-    prefix = prefix.join(sketches(v), "doc").select("doc", "term", "rest", *(F.element_at("bits", i + 1).alias(f"s{i}") for i in range(BITS // 64)))
-    prefix = in_blocks(prefix, "term", "doc")
-    p, q = prefix.alias("p"), prefix.alias("q")
-    chance = math.acos(least) / math.pi
-    most = int(BITS * chance + 4.5 * math.sqrt(BITS * chance * (1 - chance))) + 1
-    apart = sum((F.bit_count(F.col(f"p.s{i}").bitwiseXOR(F.col(f"q.s{i}"))) for i in range(1, BITS // 64)), F.bit_count(F.col("p.s0").bitwiseXOR(F.col("q.s0"))))
-    carried = F.col("p.rest") * F.col("q.rest") >= least * least - 1e-9
-    met = p.join(q, once("term") & (F.col("p.doc") < F.col("q.doc")) & carried & (apart <= most)).select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct()
+    columns = v.groupBy("doc", F.pmod(F.xxhash64("term"), F.lit(COLUMNS)).cast("int").alias("c")).agg(F.sum("w").cast("float").alias("w"))
+    rows = columns.groupBy("doc").agg(F.collect_list("c").alias("c"), F.collect_list("w").alias("w")).withColumn("all", F.lit(0))
+    groups = in_blocks(rows, "all", "doc", BLOCK)
+
+    def close(table):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        docs, own = table.column("doc").to_numpy(), table.column("_own").to_numpy()
+        a, b = table.column("_a")[0].as_py(), table.column("_b")[0].as_py()
+        c, w = table.column("c").combine_chunks(), table.column("w").combine_chunks()
+        ends, cs, ws = c.offsets.to_numpy(), c.values.to_numpy(), w.values.to_numpy()
+
+        def dense(rows):  # noqa: ANN001, ANN202
+            out = np.zeros((len(rows), COLUMNS), np.float32)
+            for i, r in enumerate(rows):
+                out[i, cs[ends[r] : ends[r + 1]]] = ws[ends[r] : ends[r + 1]]
+            return out
+
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        found = []
+        for i in range(0, len(left), PRODUCT):
+            one = dense(left[i : i + PRODUCT])
+            for j in range(i if a == b else 0, len(right), PRODUCT):
+                x, y = np.nonzero(one @ dense(right[j : j + PRODUCT]).T >= least - 1e-4)
+                p, q = docs[left[i + x]], docs[right[j + y]]
+                keep = p < q if a == b and i == j else p != q
+                found.append((np.minimum(p, q)[keep], np.maximum(p, q)[keep]))
+        pairs = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    met = groups.select("doc", "c", "w", "_own", "_a", "_b").groupBy("_a", "_b").applyInArrow(close, "a bigint, b bigint")
     left = met.join(v.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")), "a")
     dots = left.join(v.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return dots.where(F.col("cosine") >= least)

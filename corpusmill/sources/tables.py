@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables whose rows take work: a few small files of them are spread over all tasks.
+TEXTS = ("note_record", "documents", "chunk_note", "oc_part")
+#: Bytes of a file that one task reads, about: a row group is one task's however small the splits.
+ROW_GROUP = 128 << 20
+
+
+def files_of(spark: SparkSession, folder: str, name: str) -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    return [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table ``name`` of ``folder``: one file or a directory of files."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """The table ``name`` of ``folder``: one file or a directory of files.
+
+    A table of ``TEXTS`` with fewer row groups than the session has tasks, a
+    small one, is dealt out evenly; a large one stays as it lies.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name in TEXTS:
+        tasks = spark.sparkContext.defaultParallelism
+        if sum(-(-size // ROW_GROUP) for _, size, _ in files_of(spark, folder, name)) < tasks:
+            return df.repartition(tasks)
+    return df
 
 
 def state_of(spark: SparkSession, folder: str, name: str) -> tuple:
     """What tells this state of a table from another: the names, sizes and times of its files."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    return (folder, name, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    return (folder, name, *sorted(files_of(spark, folder, name)))
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
