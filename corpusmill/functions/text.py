@@ -148,7 +148,7 @@ def identifiers(s: Column, cap: int = 40) -> Column:
     """Distinct identifiers in order of kind: code spans, paths, versions, hosts with ports, quantities and file names; the first ``cap``."""
     kinds = (r"`([^`\n]{2,60})`", r"((?:/[\w.-]+){2,})", r"\b(v?\d+\.\d+(?:\.\d+)*)\b", r"\b([\w-]+(?:\.[\w-]+)*:\d{2,5})\b", r"\b(\d+(?:\.\d+)?\s?(?:ms|s|GB|MB|KB|%))", r"\b([\w-]+\.(?:py|md|json|yaml|yml|js|ts|sh|sql|csv|txt))\b")
     found = F.concat(*(F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in kinds))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: F.char_length(x) >= 2)), 1, cap)
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.char_length(x) >= 2)), 1, cap)
 
 
 def sentences(s: Column) -> Column:

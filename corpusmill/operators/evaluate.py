@@ -34,19 +34,18 @@ def bootstrap_interval(values: DataFrame, value: str, row: str, rounds: int = 20
 
     Each row is drawn a Poisson(1) number of times a round, by a number made of
     its id ``row`` (a bigint) and the round: the same whatever the partitions and
-    however often a task runs. No sample is collected; the rounds are columns of
-    one aggregate. Null values and ids are left out.
+    however often a task runs. No sample is collected; a row's rounds are added
+    up within its task first. Null values and ids are left out.
     """
     v = values.where(F.col(value).isNotNull() & F.col(row).isNotNull()).select(F.col(value).cast("double").alias("v"), F.pmod(F.col(row).cast("long"), F.lit(PRIME)).alias("i"))
 
-    def weight(k: int):  # noqa: ANN202
-        x = (F.col("i") * 48_271 + (k + 1) * 1_234_567) % PRIME
-        u = (x * x) % PRIME / PRIME
-        return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON[1:]), F.when(u >= POISSON[0], 1).otherwise(0))
-
-    sums = v.agg(F.avg("v").alias("mean"), F.array(*(F.sum(F.col("v") * weight(k)) / F.greatest(F.sum(weight(k)), F.lit(1)) for k in range(rounds))).alias("m"))
-    s = F.array_sort("m")
-    return sums.select("mean", F.element_at(s, max(1, round(rounds * 0.025))).alias("low"), F.element_at(s, round(rounds * 0.975)).alias("high"))
+    x = (F.col("i") * 48_271 + (F.col("k") + 1) * 1_234_567) % PRIME
+    drawn = v.select("v", "i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("k")).select("v", "k", ((x * x) % PRIME / PRIME).alias("u"))
+    drawn = drawn.withColumn("w", sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in POISSON[1:]), F.when(F.col("u") >= POISSON[0], 1).otherwise(0)))
+    means = drawn.groupBy("k").agg((F.sum(F.col("v") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
+    s = F.array_sort(F.collect_list("m"))
+    low, high = F.get(s, F.lit(max(1, round(rounds * 0.025)) - 1)), F.get(s, F.lit(round(rounds * 0.975) - 1))
+    return v.agg(F.avg("v").alias("mean")).crossJoin(means.agg(low.alias("low"), high.alias("high")))
 
 
 def trailing_run(rows: DataFrame, key: str, order: list[str], bad: str) -> DataFrame:

@@ -101,13 +101,18 @@ def boilerplate(body: Column) -> Column:
     def announces(line: Column) -> Column:
         return F.exists(F.array(*map(F.lit, ANNOUNCES)), lambda w: line.startswith(w))
 
-    told = F.filter(lines, lambda x: ~(answers(x) | announces(x)))
-    short = F.array_sort(F.filter(told, lambda x: F.char_length(x) <= SHORT_LINE))
-    # among sorted lines, one of three or more equal ones has an equal line two places off, or equal ones on either side
-    same = lambda x, i: F.coalesce(F.get(short, i) == x, F.lit(False))
-    often = F.filter(short, lambda x, i: same(x, i - 2) | same(x, i + 2) | (same(x, i - 1) & same(x, i + 1)))
-    n = F.size(lines)
-    return F.when(n > 0, (n - F.size(told) + F.size(often)) / n).otherwise(F.lit(0.0))
+    def share(all_lines: Column, told: Column, short: Column) -> Column:
+        # among sorted lines, one of three or more equal ones has an equal line two places off, or equal ones on either side
+        same = lambda x, i: F.coalesce(F.get(short, i) == x, F.lit(False))
+        often = F.filter(short, lambda x, i: same(x, i - 2) | same(x, i + 2) | (same(x, i - 1) & same(x, i + 1)))
+        n = F.size(all_lines)
+        return F.when(n > 0, (n - F.size(told) + F.size(often)) / n).otherwise(F.lit(0.0))
+
+    # each step is bound as an element of an array, so that it is made once
+    told = lambda ls: F.filter(ls, lambda x: ~(answers(x) | announces(x)))
+    short = lambda t: F.array_sort(F.filter(t, lambda x: F.char_length(x) <= SHORT_LINE))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return bound(lines, lambda ls: bound(told(ls), lambda t: bound(short(t), lambda s: share(ls, t, s))))
 
 
 def triage_score(text: Column, required: list[Column], similarity: Column, keywords: list[str]) -> Column:

@@ -264,6 +264,7 @@ SQL = {
     "cosine_pairs": _COS + " SELECT a, b, round(cosine, 5) AS cosine, da <> db AND da <> '-' AND db <> '-' AS crosses FROM cos JOIN (SELECT note_id AS a, split_part(coalesce(domain, '-'), '/', 1) AS da FROM note_record) USING (a) JOIN (SELECT note_id AS b, split_part(coalesce(domain, '-'), '/', 1) AS db FROM note_record) USING (b) WHERE cosine >= 0.75",
     "related_band": _COS + " SELECT a AS note_id, b AS related, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 7) DESC, b) AS place FROM (SELECT a, b, cosine FROM cos UNION ALL SELECT b, a, cosine FROM cos) WHERE cosine >= 0.70 AND cosine < 0.92 QUALIFY place <= 3",
     "knn_notes": "WITH " + S.indexed() + ",\n" + S.asked("note_record", "note_id", S.NOTE_TEXT, "note_id % 100 = 0") + " SELECT query, doc, round(score, 5) AS score FROM cosine WHERE query <> doc QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 7) DESC, doc) <= 3",
+    "set_likeness": f"WITH n AS (SELECT rel, list_distinct(max(coalesce({S.tags()}, []))) AS t FROM note_record GROUP BY rel), p AS (SELECT DISTINCT from_rel, to_rel, x.t AS a, y.t AS b, len(list_intersect(x.t, y.t)) AS i, len(list_distinct(list_concat(x.t, y.t))) AS u FROM sim_result JOIN n x ON from_rel = x.rel JOIN n y ON to_rel = y.rel) SELECT from_rel, to_rel, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS jaccard, round(CASE WHEN len(a) + len(b) > 0 THEN 2 * i / (len(a) + len(b)) ELSE 0 END, 6) AS dice, round(CASE WHEN len(a) > 0 THEN i / len(a) ELSE 0 END, 6) AS recall FROM p",
     "claim_overlaps": f"WITH {_CLAIMS} SELECT x.id AS a, y.id AS b, CASE WHEN x.value = y.value THEN 'dup' ELSE 'conflict' END AS kind FROM claims x JOIN claims y ON x.subject = y.subject AND x.relation = y.relation AND x.id < y.id AND x.s <= y.e AND y.s <= x.e",
     "claim_updates": f"WITH {_CLAIMS} SELECT a, b, sb - s AS days FROM (SELECT id AS a, s, e, value, lead(id) OVER w AS b, lead(value) OVER w AS vb, lead(s) OVER w AS sb FROM claims WINDOW w AS (PARTITION BY subject, relation ORDER BY s, id)) WHERE sb > e AND vb <> value",
     "claim_evidence": "WITH e AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY user_id, ts) SELECT o_orderkey, e.event_id, epoch_us(o_orderdate) - epoch_us(e.ts) AS micros FROM orders ASOF LEFT JOIN e ON o_custkey = user_id AND o_orderdate > e.ts",

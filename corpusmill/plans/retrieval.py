@@ -179,8 +179,8 @@ def expanded_top10(spark: SparkSession, folder: str) -> DataFrame:
     return _top(I.bm25(notes_index(spark, folder), q))
 
 
-def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """First hit, recall among ten and mean reciprocal rank of the held-out questions over the documents that hold their passage."""
+def answers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``query, doc`` of the documents that hold a held-out question's passage, and ``query, doc, rank`` of the ten best for each question."""
     docs = table(spark, folder, "documents").where("text is not null")
     items = table(spark, folder, "eval_item").where("item_id is not null and passage is not null").select("item_id", "question", "passage")
     index = I.stored(spark, ("documents", *state_of(spark, folder, "documents")), lambda: I.build_index(docs, "doc_id", F.col("text")))
@@ -191,9 +191,16 @@ def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     plain = asked.where(F.size(X.tokens(I.inner(F.col("passage")))) == 0).crossJoin(texts)
     gold = met.select("query", "doc", "passage", "text").unionByName(plain.select("query", "doc", "passage", "text")).where(F.contains("text", "passage")).select("query", "doc").distinct()
     hits = I.ranked(I.bm25(index, I.query_terms(items, "item_id", F.col("question"))), 10).select("query", "doc", "rank")
-    per = gold.join(hits, ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("first"), F.count("rank").alias("found"), F.count("*").alias("of"))
+    return gold, hits
+
+
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """First hit, recall among one, four, five and ten, and mean reciprocal rank of the held-out questions over the documents that hold their passage."""
+    gold, hits = answers(spark, folder)
+    among = lambda k: F.count(F.when(F.col("rank") <= k, 1)).alias(f"k{k}")
+    per = gold.join(hits, ["query", "doc"], "left").groupBy("query").agg(F.min("rank").alias("first"), *(among(k) for k in (1, 4, 5, 10)), F.count("*").alias("of"))
     return per.agg(
-        F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("first") == 1, 1.0).otherwise(0.0)), 6).alias("top1"), F.round(F.avg(F.col("found") / F.col("of")), 6).alias("recall_at_10"),
+        F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("first") == 1, 1.0).otherwise(0.0)), 6).alias("top1"), *(F.round(F.avg(F.col(f"k{k}") / F.col("of")), 6).alias(f"recall_at_{k}") for k in (1, 4, 5, 10)),
         F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
@@ -280,8 +287,8 @@ again AS (SELECT query, doc, 0.4 * len(list_intersect(q, d)) / greatest(len(list
     "expanded_top10": _I + ",\n" + S.asked(text="concat_ws(' ', term, array_to_string(aliases, ' '))") + " " + _OUT + S.top("bm25", 10),
     "retrieval_metrics": "WITH " + S.indexed("(SELECT * FROM documents WHERE text IS NOT NULL)", "doc_id", "text") + ",\n" + S.asked("eval_item", "item_id", "question") + f""",
 gold AS (SELECT DISTINCT item_id AS query, doc_id AS doc FROM documents, eval_item WHERE contains(text, passage)),
-per AS (SELECT g.query, min(rank) AS first, count(rank) AS found, count(*) AS n FROM gold g LEFT JOIN {S.top('bm25', 10)} h ON g.query = h.query AND g.doc = h.doc GROUP BY g.query)
-SELECT count(*) AS questions, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(found / n), 6) AS recall_at_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM per""",
+per AS (SELECT g.query, min(rank) AS first, {', '.join(f'count(*) FILTER (rank <= {k}) AS k{k}' for k in (1, 4, 5, 10))}, count(*) AS n FROM gold g LEFT JOIN {S.top('bm25', 10)} h ON g.query = h.query AND g.doc = h.doc GROUP BY g.query)
+SELECT count(*) AS questions, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS top1, """ + ", ".join(f"round(avg(k{k} / n), 6) AS recall_at_{k}" for k in (1, 4, 5, 10)) + """, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM per""",
     "snippet_window": _I + _Q + f""", first AS {S.top('bm25', 5)},
 qq AS (SELECT term_id AS query, list_distinct({S.tokens('term')}) AS q FROM canon_term),
 ss AS (SELECT note_id AS doc, {_SENT} AS s FROM note_record WHERE body IS NOT NULL),

@@ -236,6 +236,7 @@ _CONF = f"""conf AS (SELECT note_id, lower(trim(kb_layer)) AS layer, round(0.5e0
 SELECT *, round(0.9e0 - 0.6e0 * least(coalesce(inferred / nullif(bullets, 0), 0), 0.5e0), 3) AS ex, CASE WHEN age IS NULL THEN 0.7e0 WHEN age <= 90 THEN 1e0 WHEN age >= 365 THEN 0.15e0 ELSE round(1 - 0.85e0 * (age - 90) / 275, 3) END AS re FROM (
 SELECT *, len(list_filter({_LINES.format(x="coalesce(body, '')")}, lambda x: starts_with(x, '-'))) AS bullets, len(list_filter({_LINES.format(x="coalesce(body, '')")}, lambda x: starts_with(x, '-') AND contains(x, '^[推断]'))) AS inferred, date_diff('day', coalesce(updated, created), DATE '{AS_OF}') AS age FROM note_record)))"""
 _KINDS = ["`([^`\\n]{2,60})`", "((?:/[\\w.-]+){2,})", "\\b(v?\\d+\\.\\d+(?:\\.\\d+)*)\\b", "\\b([\\w-]+(?:\\.[\\w-]+)*:\\d{2,5})\\b", "\\b(\\d+(?:\\.\\d+)?\\s?(?:ms|s|GB|MB|KB|%))", "\\b([\\w-]+\\.(?:py|md|json|yaml|yml|js|ts|sh|sql|csv|txt))\\b"]
+_WITHOUT = "replace(" * len(Q.ANSWERS) + "w" + "".join(f", '{w}', '')" for w in Q.ANSWERS)
 _PLAIN = "regexp_replace(regexp_replace(body, '(?s)```.*?(?:```|\\z)', '', 'g'), '`[^`\\n]*`', '', 'g')"
 _TARGETS = f"list_filter(list_transform(regexp_extract_all({_PLAIN}, '\\[\\[([^\\]]+)\\]\\]', 1), lambda x: trim(regexp_extract(x, '^[^#|]*'))), lambda x: x <> '')"
 _PH = "(regexp_full_match({b}, '[\\s\\-_.·•*]*') OR regexp_full_match({b}, '(?i)(?:todo|tbd|待补|占位|placeholder|待补充|内容待补)[\\s\\-_.]*'))"
@@ -244,6 +245,9 @@ STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 SQL = {
     "token_counts": "SELECT doc_id, coalesce(length(regexp_replace(text, '[^一-鿿]', '', 'g')) + length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) // 4, 0) AS tokens, length(text) AS chars FROM documents",
+    "tokenizer_variants": f"SELECT note_id, len({S.tokens('body')}) AS index_tokens, len(regexp_extract_all(body, '[A-Za-z0-9]+')) + len({S.han('body')}) AS unigrams, len(regexp_extract_all(body, '[A-Za-z0-9]+')) + len(regexp_extract_all(body, '[一-鿿]{{2,}}')) AS runs, greatest(length(regexp_replace(lower(replace(trim(body), 'İ', 'i̇')), '[\\s\\x0b]+', ' ', 'g')) - 1, 0) AS pairs FROM note_record WHERE body IS NOT NULL",
+    "key_identifiers": "SELECT note_id, unnest(p) AS identifier, generate_subscripts(p, 1) - 1 AS at FROM (SELECT note_id, list_filter(l, lambda x, i: list_position(l, x) = i)[:40] AS p FROM (SELECT note_id, list_filter(list_transform(" + "list_concat(" * (len(_KINDS) - 1) + f"regexp_extract_all(body, '{_KINDS[0]}', 1), " + "), ".join(f"regexp_extract_all(body, '{k}', 1)" for k in _KINDS[1:]) + "), lambda x: trim(x)), lambda x: length(x) >= 2) AS l FROM note_record WHERE body IS NOT NULL))",
+    "boilerplate_share": f"WITH l AS (SELECT chunk_id, unnest({_L}) AS x FROM chunk_note WHERE body IS NOT NULL), k AS (SELECT chunk_id, x, (trim(w) <> '' AND trim({_WITHOUT}) = '') OR {' OR '.join(f"starts_with(x, '{w}')" for w in Q.ANNOUNCES)} AS filler FROM (SELECT *, regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}} ]', '', 'g') AS w FROM l)), o AS (SELECT chunk_id, x, filler, NOT filler AND length(x) <= 40 AND count(*) FILTER (NOT filler) OVER (PARTITION BY chunk_id, x) >= 3 AS often FROM k), s AS (SELECT chunk_id, round(count(*) FILTER (filler OR often) / count(*), 6) AS share FROM o GROUP BY chunk_id) SELECT chunk_id, coalesce(share, 0) AS share FROM chunk_note LEFT JOIN s USING (chunk_id) WHERE body IS NOT NULL",
     "text_entropy": f"SELECT note_id, round(entropy, 6) AS entropy FROM ({_ENT})",
     "text_densities": f"SELECT note_id, round(length(regexp_replace(body, '[^\\p{{L}}\\p{{N}}]', '', 'g')) / greatest(length(body), 1), 6) AS signal, round({_DENS}, 6) AS keywords, round(CASE WHEN len({_L}) > 0 THEN len(list_filter({_L}, lambda x: len(list_filter({_list(Q.ALL_SIGNALS)}, lambda w: contains(x, w))) > 0 OR regexp_matches(x, '^(?:\\$ |> |[-*] `|`)'))) / len({_L}) ELSE 0 END, 6) AS lines, round(CASE WHEN length(body) > 0 THEN (len(regexp_extract_all(body, '{NEGATIONS[0]}')) + len(regexp_extract_all(body, '{NEGATIONS[1]}'))) / length(body) ELSE 0 END, 6) AS negations FROM note_record WHERE body IS NOT NULL",
     "fingerprints": "SELECT note_id, sha256(body) AS sha, sha256(regexp_replace(lower(title), '[^\\p{L}\\p{N}]', '', 'g')) AS title_key FROM note_record",

@@ -30,7 +30,7 @@ def frontmatter(text: Column) -> Column:
     block = F.regexp_extract(flat, r"(?s)\A(?:.*?\n)??---[ \t]*\n(.*?)(?:\n|(?<=\n))---[ \t]*(?:\n|\z)", 1)
     has = flat.rlike(r"(?s)\A(?:.*?\n)??---[ \t]*\n.*?(?:(?<=\n))---[ \t]*(?:\n|\z)")
     body = F.regexp_replace(flat, r"(?s)\A(?:.*?\n)??---[ \t]*\n.*?(?<=\n)---[ \t]*(?:\n|\z)", "")
-    lines = F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: F.contains(x, F.lit(":")) & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(":")) & ~x.startswith("#"))
     key = lambda x: F.trim(F.substring_index(x, ":", 1))
     value = lambda x: F.nullif(F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), "^[\"']+|[\"']+$", ""), F.lit(""))
     pairs = F.transform(lines, lambda x: F.struct(key(x).alias("k"), F.when(x.endswith(":"), F.lit(None)).otherwise(value(x)).alias("v")))

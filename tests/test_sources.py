@@ -19,6 +19,8 @@ def test_vault_and_frontmatter(spark, tmp_path):
     assert set(got) == {"a/n.md", "c.md"}
     assert got["a/n.md"].fm == {"title": "U", "tags": "[x, \"y, z\"]", "empty": None} and got["a/n.md"].body == "body\n---\nmore"
     assert got["c.md"].fm == {} and got["c.md"].body.startswith("no head")
+    numbered = spark.createDataFrame([("---\na: 10\nb: 21\nc: 32\n---\nx",)], "t string").select(formats.frontmatter(F.col("t"))["fm"].alias("fm")).first().fm
+    assert numbered == {"a": "10", "b": "21", "c": "32"}
     assert v.where("rel = 'a/n.md'").select(formats.list_field(F.col("fm")["tags"]).alias("t")).first().t == ["x", "y, z"]
 
 
