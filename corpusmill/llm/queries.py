@@ -105,8 +105,10 @@ _BARE = "regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 
 SQL = {
     "p3_found": "WITH " + _WINDOWS + " SELECT a AS note_a, b AS note_b FROM near",
+    "p3_groups": "WITH RECURSIVE " + _WINDOWS + ", c AS (SELECT id, min(id) OVER (PARTITION BY f) AS rep, count(*) OVER (PARTITION BY f) AS n FROM t WHERE length(f) > 200), l AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM near JOIN c x ON a = x.id JOIN c y ON b = y.id WHERE x.rep <> y.rep), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT DISTINCT rep AS a, rep AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT id AS note_id, rep AS class_id, (SELECT min(b) FROM r WHERE r.a = rep) AS group_id, n AS n_copies, (SELECT count(*) FROM e WHERE e.a = rep) AS n_links FROM c",
     "p3_scores": "WITH " + _WINDOWS + " SELECT a AS note_a, b AS note_b, x.rel AS from_rel, y.rel AS to_rel, round(score, 6) AS score FROM near JOIN note_record x ON a = x.note_id JOIN note_record y ON b = y.note_id",
     "p5_found": "WITH " + _TURNS + " SELECT s AS session_id, n AS turn_no, id AS message_id FROM turn SEMI JOIN good USING (s) WHERE s NOT IN (SELECT s FROM bad)",
+    "p5_texts": "WITH " + _TURNS + ", said AS (SELECT message_id, string_agg(x, chr(10) ORDER BY t NULLS FIRST, id, x) AS text FROM (SELECT DISTINCT id, message_id, time_created AS t, data, CASE WHEN json_valid(data) AND json_extract_string(data, '$.type') = 'text' THEN json_extract_string(data, '$.text') END AS x FROM oc_part) WHERE x IS NOT NULL GROUP BY message_id) SELECT s AS session_id, n AS turn_no, turn.id AS message_id, role, text FROM turn SEMI JOIN good USING (s) LEFT JOIN said ON message_id = turn.id WHERE s NOT IN (SELECT s FROM bad)",
     "p6_found": "SELECT chunk_id FROM chunk_note WHERE length(body) > 2000 AND is_parent_index IS DISTINCT FROM true",
     "p9_found": "WITH i AS (SELECT item_id, " + _BARE.format(x="passage") + " AS f FROM eval_item), g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(f) - 38), lambda k: substr(f, k, 40))) AS x FROM i WHERE length(f) >= 40), d AS (SELECT doc_id, " + _BARE.format(x="text") + " AS f FROM documents), h AS (SELECT doc_id, unnest(list_transform(range(1, length(f) - 38), lambda k: substr(f, k, 40))) AS x FROM d WHERE length(f) >= 40) SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (x)",
 }
