@@ -18,8 +18,9 @@ def pattern(limit: int, overlap: int) -> str:
 
     def core(most: int) -> str:
         least = max(overlap, most // 2, 1)
-        ends = (r"(?<=\n[ \t\r]{0,9}\n)(?=\S)", r"(?<=\n)", r"(?<=[。！？!?…][”’」』）)\"']?|\.)(?=\s|[^\x00-\x7f])", r"(?<=[；;，,、：:])", r"(?<=\s)(?=\S)", "")
-        return "|".join([rf".{{1,{most}}}\z", *(rf".{{{least},{most}}}{e}" for e in ends), rf".{{1,{most}}}"])
+        ends = (r"(?<=\n[ \t\r]{0,9}\n)(?=\S)", r"(?<=\n)", r"(?<=[。！？!?…][”’」』）)\"']?|\.)(?=\s|[^\x00-\x7f])", r"(?<=[；;，,、：:])", r"(?<=\s)(?=\S)")
+        # in the second half of a core, then as early as an overlap allows, then anywhere
+        return "|".join([rf".{{1,{most}}}\z", *(rf".{{{low},{most}}}{e}" for low in (least, max(overlap, 1)) for e in ends), rf".{{1,{most}}}"])
 
     return rf"(?s)\A(?:{core(limit)})|(?:{core(limit - overlap)})"
 

@@ -83,6 +83,8 @@ def test_pieces_prefer_strong_boundaries(spark):
     t = "a" * 1200 + "\n\n" + "b" * 500 + ". " + "c" * 900
     df = spark.createDataFrame([(t, None)], "body string, is_parent_index boolean")
     assert splitting.split_oversized(df).where("piece_no = 1").first().piece == "a" * 1200 + "\n\n"
+    early = spark.createDataFrame([("a" * 900 + "\n\n" + "b" * 1500, None)], "body string, is_parent_index boolean")
+    assert splitting.split_oversized(early).where("piece_no = 1").first().piece == "a" * 900 + "\n\n"
     with pytest.raises(ValueError):
         splitting.split_oversized(df, limit=100, overlap=50)
 
