@@ -11,12 +11,38 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP = 2000, 500
 
 
+def _blocks(text: str) -> Iterator[str]:
+    """Parts of a text that belong together: paragraphs, headings, and code fences with whatever is in them; blank lines and rules end a part, rules stay with it."""
+    held: list[str] = []
+    fence = ""
+    for line in text.split("\n"):
+        mark = re.match(r"\s{0,3}(`{3,}|~{3,})", line)
+        if fence:
+            held.append(line)
+            if mark and mark[1].startswith(fence) and not line.strip(" \t\r`~"):
+                yield "\n".join(held)
+                held, fence = [], ""
+            continue
+        opens, heading = bool(mark), bool(re.match(r"#{1,6}\s", line))
+        if held and (opens or heading or not line.strip()):
+            yield "\n".join(held)
+            held = []
+        if not line.strip():
+            continue
+        held.append(line)
+        if opens:
+            fence = mark[1]
+        elif heading or re.fullmatch(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*", line):
+            yield "\n".join(held)
+            held = []
+    if held:
+        yield "\n".join(held)
+
+
 def _paragraphs(text: str, size: int, overlap: int) -> list[str]:
     """Paragraphs, a heading with what follows it; one longer than ``size`` cut at sentence ends or, without any, by length."""
     out: list[str] = []
-    for block in re.split(r"\n\s*\n", text):
-        if not block.strip():
-            continue
+    for block in _blocks(text):
         if out and re.fullmatch(r"#{1,6}\s.*", out[-1].strip()) and len(out[-1]) + len(block) + 2 <= size:
             out[-1] += "\n\n" + block
             continue
@@ -71,3 +97,19 @@ def paragraph_chunks(texts: DataFrame, row: str, text: str, size: int = SIZE, ov
 
     kind = dict(texts.dtypes)[row]
     return texts.where(F.col(text).isNotNull()).select(row, text).mapInArrow(run, f"{row} {kind}, chunk_no bigint, chars bigint, chunk string")
+
+
+#: Sizes at which a note is put together with others, kept whole, or cut at its headings; a longer one is cut by meaning.
+ROUTES = (200, 2000, 10_000)
+
+
+def routed_chunks(texts: DataFrame, row: str, text: str) -> DataFrame:
+    """``row, route, chunk_no, chars, chunk`` of every text by its size: whole below ``ROUTES[0]`` (aggregate) and up to ``ROUTES[1]`` (direct), at second-level headings up to ``ROUTES[2]`` (headings), else by ``paragraph_chunks`` (semantic).
+
+    Null and blank texts have no chunk; neither has a blank piece.
+    """
+    n = F.char_length(text)
+    t = texts.where(F.col(text).rlike(r"\S")).select(row, text, F.when(n < ROUTES[0], "aggregate").when(n <= ROUTES[1], "direct").when(n <= ROUTES[2], "headings").otherwise("semantic").alias("route"))
+    parts = F.filter(F.when(F.col("route") == "headings", F.split(text, r"\n(?=## )")).otherwise(F.array(text)), lambda x: x.rlike(r"\S"))
+    whole = t.where("route <> 'semantic'").select(row, "route", F.posexplode(parts).alias("i", "chunk")).select(row, "route", (F.col("i") + 1).cast("long").alias("chunk_no"), F.char_length("chunk").cast("long").alias("chars"), "chunk")
+    return whole.unionByName(paragraph_chunks(t.where("route = 'semantic'"), row, text).withColumn("route", F.lit("semantic")))

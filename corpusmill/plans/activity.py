@@ -181,9 +181,14 @@ def semantic_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return C.paragraph_chunks(table(spark, folder, "chunk_note"), "chunk_id", "body")
 
 
+def routed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of every body cut by the way its size asks for."""
+    return C.routed_chunks(table(spark, folder, "chunk_note").dropDuplicates(["chunk_id"]), "chunk_id", "body").select("chunk_id", "route", "chunk_no", "chars")
+
+
 QUERIES = {f.__name__: f for f in (
     summary_hits, hit_decay, weighted_signal, importance_bumps, latest_events, trailing_bad_run, drift_trend, note_drift, verdict_trust, threshold_sweep, bootstrap_ci, recall_deck, fsrs_curve, fsrs_next, fsrs_fold,
-    confidence_updates, index_freshness, chat_threads, message_pairs, part_types, heading_chunks, semantic_chunks)}
+    confidence_updates, index_freshness, chat_threads, message_pairs, part_types, heading_chunks, semantic_chunks, routed_chunks)}
 
 _LINES = "list_filter(list_transform(string_split_regex(body, '\\r\\n|\\r|\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 _ASKED = f"coalesce(CASE WHEN regexp_replace(kb_summary, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') <> '' THEN kb_summary END, substring({_LINES}[1], 1, 80))"

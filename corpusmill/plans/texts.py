@@ -245,7 +245,7 @@ STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 SQL = {
     "token_counts": "SELECT doc_id, coalesce(length(regexp_replace(text, '[^一-鿿]', '', 'g')) + length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) // 4, 0) AS tokens, length(text) AS chars FROM documents",
-    "tokenizer_variants": f"SELECT note_id, len({S.tokens('body')}) AS index_tokens, len(regexp_extract_all(body, '[A-Za-z0-9]+')) + len({S.han('body')}) AS unigrams, len(regexp_extract_all(body, '[A-Za-z0-9]+')) + len(regexp_extract_all(body, '[一-鿿]{{2,}}')) AS runs, greatest(length(regexp_replace(lower(replace(trim(body), 'İ', 'i̇')), '[\\s\\x0b]+', ' ', 'g')) - 1, 0) AS pairs FROM note_record WHERE body IS NOT NULL",
+    "tokenizer_variants": f"SELECT note_id, len({S.tokens('body')}) AS index_tokens, len(regexp_extract_all(body, '[A-Za-z0-9]+')) + len({S.han('body')}) AS unigrams, len(regexp_extract_all(body, '[A-Za-z0-9]+')) + len(regexp_extract_all(body, '[一-鿿]{{2,}}')) AS runs, greatest(length(regexp_replace(lower(trim(body, ' ')), '[\\s\\x0b]+', ' ', 'g')) - 1, 0) AS pairs FROM note_record WHERE body IS NOT NULL",
     "key_identifiers": "SELECT note_id, unnest(p) AS identifier, generate_subscripts(p, 1) - 1 AS at FROM (SELECT note_id, list_filter(l, lambda x, i: list_position(l, x) = i)[:40] AS p FROM (SELECT note_id, list_filter(list_transform(" + "list_concat(" * (len(_KINDS) - 1) + f"regexp_extract_all(body, '{_KINDS[0]}', 1), " + "), ".join(f"regexp_extract_all(body, '{k}', 1)" for k in _KINDS[1:]) + "), lambda x: trim(x)), lambda x: length(x) >= 2) AS l FROM note_record WHERE body IS NOT NULL))",
     "boilerplate_share": f"WITH l AS (SELECT chunk_id, unnest({_L}) AS x FROM chunk_note WHERE body IS NOT NULL), k AS (SELECT chunk_id, x, (trim(w) <> '' AND trim({_WITHOUT}) = '') OR {' OR '.join(f"starts_with(x, '{w}')" for w in Q.ANNOUNCES)} AS filler FROM (SELECT *, regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}} ]', '', 'g') AS w FROM l)), o AS (SELECT chunk_id, x, filler, NOT filler AND length(x) <= 40 AND count(*) FILTER (NOT filler) OVER (PARTITION BY chunk_id, x) >= 3 AS often FROM k), s AS (SELECT chunk_id, round(count(*) FILTER (filler OR often) / count(*), 6) AS share FROM o GROUP BY chunk_id) SELECT chunk_id, coalesce(share, 0) AS share FROM chunk_note LEFT JOIN s USING (chunk_id) WHERE body IS NOT NULL",
     "text_entropy": f"SELECT note_id, round(entropy, 6) AS entropy FROM ({_ENT})",

@@ -99,6 +99,19 @@ def test_text_bits(spark):
     assert one(spark, X.first_line, "# h\n\n body \nx") == "body"
 
 
+def test_fences_and_headings_stay_whole(spark):
+    fence = "```py\nx = 1\n\n# no heading\n" + "y = 2\n" * 20 + "```"
+    text = "# t\nintro\n\n" + fence + "\n\n---\n## a\nmore\n~~~\nopen"
+    assert list(chunks._blocks(text)) == ["# t", "intro", fence, "---", "## a", "more", "~~~\nopen"]
+    got = [r.chunk for r in chunks.paragraph_chunks(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", size=160, overlap=10).collect()]
+    assert any(fence in c for c in got) and all(len(c) <= 160 for c in got)
+    df = spark.createDataFrame([(1, "s"), (2, "d" * 300), (3, "h" * 1500 + "\n## x\n" + "k" * 900), (4, ("word " * 100 + "\n\n") * 40), (5, " "), (6, None)], "id long, t string")
+    routes = {}
+    for r in chunks.routed_chunks(df, "id", "t").collect():
+        routes.setdefault((r.id, r.route), []).append(r.chunk_no)
+    assert {k: len(v) for k, v in routes.items() if k[1] != "semantic"} == {(1, "aggregate"): 1, (2, "direct"): 1, (3, "headings"): 2} and len(routes[4, "semantic"]) > 5
+
+
 def test_boilerplate_and_gate(spark):
     assert one(spark, quality.boilerplate, "好的\n内容很长的一行文字在这里\nx x\nx x\nx x\n让我看看") == pytest.approx(5 / 6)
     g = spark.createDataFrame([("short", "active", 1), ("a real body of enough length here", None, 1), ("a real body of enough length here", "active", 5), ("a real body of enough length here", "active", 2)], "b string, s string, t int")
@@ -320,6 +333,19 @@ def test_paragraph_chunks(spark):
     assert got[2] == [(1, "short")] and "".join(c for _, c in sorted(got[4])).count("x") >= 9000
 
 
+def test_fences_and_headings_stay_whole(spark):
+    fence = "```py\nx = 1\n\n# no heading\n" + "y = 2\n" * 20 + "```"
+    text = "# t\nintro\n\n" + fence + "\n\n---\n## a\nmore\n~~~\nopen"
+    assert list(chunks._blocks(text)) == ["# t", "intro", fence, "---", "## a", "more", "~~~\nopen"]
+    got = [r.chunk for r in chunks.paragraph_chunks(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", size=160, overlap=10).collect()]
+    assert any(fence in c for c in got) and all(len(c) <= 160 for c in got)
+    df = spark.createDataFrame([(1, "s"), (2, "d" * 300), (3, "h" * 1500 + "\n## x\n" + "k" * 900), (4, ("word " * 100 + "\n\n") * 40), (5, " "), (6, None)], "id long, t string")
+    routes = {}
+    for r in chunks.routed_chunks(df, "id", "t").collect():
+        routes.setdefault((r.id, r.route), []).append(r.chunk_no)
+    assert {k: len(v) for k, v in routes.items() if k[1] != "semantic"} == {(1, "aggregate"): 1, (2, "direct"): 1, (3, "headings"): 2} and len(routes[4, "semantic"]) > 5
+
+
 def test_boilerplate_and_placeholders(spark):
     share = lambda t: one(spark, quality.boilerplate, t)
     assert share("好的，收到。\n我们先看日志\ntext") == pytest.approx(2 / 3) and share("a\na\na\nb") == 0.75 and share("a\na\nb") == 0 and share("") == 0 and share("谢谢你的说明") == 0
