@@ -29,12 +29,13 @@ def han(s: Column) -> Column:
 
 
 def tokens(s: Column) -> Column:
-    """Index tokens: lower-case Latin runs, then the Han characters, then the pairs of neighbours among them.
+    """Index tokens: lower-case Latin runs, then each Han character and each pair of neighbours among them.
 
     Pairs reach across whatever stood between the two characters. An empty text gives an empty array.
     """
     flat = F.regexp_replace(s, NOT_HAN, "")
-    return F.concat(low_latin(s), F.regexp_extract_all(flat, F.lit("."), F.lit(0)), F.regexp_extract_all(flat, F.lit("(?=(..))"), F.lit(1)))
+    each, pairs = F.regexp_extract_all(flat, F.lit("."), F.lit(0)), F.regexp_extract_all(flat, F.lit("(?=(..))"), F.lit(1))
+    return F.concat(low_latin(s), F.flatten(F.zip_with(each, pairs, lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b)))))
 
 
 def unigrams(s: Column) -> Column:
