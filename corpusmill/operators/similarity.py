@@ -4,7 +4,7 @@ The join of sets orders the elements of a set from the rarest to the most
 frequent in the corpus and keeps a prefix: so much that two rows that are
 similar enough have to share an element of both prefixes. Only rows that meet
 there are scored. Prefixes hold rare elements, so no frequent one is ever a
-join key unless a row has nothing else. The join of vectors multiplies blocks.
+join key unless a row has nothing else. The join of vectors multiplies blocks (``bags``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators import bags
 from corpusmill.sources.tables import cut, evenly
 
 #: Rows of one key that meet in one group; the pairs of a larger key are parted into blocks of so many.
@@ -63,62 +64,16 @@ def jaccard_pairs(sets: DataFrame, row: str, items: str, least: float) -> DataFr
     return both.where(F.col("jaccard") >= least).select("a", "b", F.col("shared").cast("long").alias("shared"), "jaccard", (F.col("shared") / F.least(F.size("sa"), F.size("sb"))).alias("containment"))
 
 
-#: Columns that terms are hashed into, documents of a block, and of a product.
-COLUMNS, BLOCK, PRODUCT = 8192, 2048, 1024
-
-
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     """``a, b, cosine`` of every pair of documents with cosine at least ``least`` (above 0); ``a < b``.
 
     ``weights`` has ``doc, term, w`` with one row a term and positive weights; ids
-    are bigints. Vectors are normalised, and their terms hashed into ``COLUMNS``
-    columns: as no weight is negative, terms that share a column can only raise
-    a product, so pairs whose hashed product is below ``least`` are out, and what
-    is left is added up exactly.
-
-    Documents meet in blocks, each pair of blocks one matrix product in a task
-    that holds ``2 * BLOCK`` vectors; nothing but close pairs leaves it. The
-    arithmetic still grows as the square of the documents, and the shuffled
-    vectors as that divided by ``BLOCK``: for millions of documents give each
-    topic or domain to this operator by itself.
+    are bigints. How documents meet is told at ``bags.alike``.
     """
-    norm = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    v = cut(weights.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w")))
-    columns = v.groupBy("doc", F.pmod(F.xxhash64("term"), F.lit(COLUMNS)).cast("int").alias("c")).agg(F.sum("w").cast("float").alias("w"))
-    rows = columns.groupBy("doc").agg(F.collect_list("c").alias("c"), F.collect_list("w").alias("w")).withColumn("all", F.lit(0))
-    groups = in_blocks(rows, "all", "doc", BLOCK)
-
-    def close(table):  # noqa: ANN001, ANN202
-        import numpy as np
-        import pyarrow as pa
-
-        docs, own = table.column("doc").to_numpy(), table.column("_own").to_numpy()
-        a, b = table.column("_a")[0].as_py(), table.column("_b")[0].as_py()
-        c, w = table.column("c").combine_chunks(), table.column("w").combine_chunks()
-        ends, cs, ws = c.offsets.to_numpy(), c.values.to_numpy(), w.values.to_numpy()
-
-        def dense(rows):  # noqa: ANN001, ANN202
-            out = np.zeros((len(rows), COLUMNS), np.float32)
-            for i, r in enumerate(rows):
-                out[i, cs[ends[r] : ends[r + 1]]] = ws[ends[r] : ends[r + 1]]
-            return out
-
-        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
-        found = []
-        for i in range(0, len(left), PRODUCT):
-            one = dense(left[i : i + PRODUCT])
-            for j in range(i if a == b else 0, len(right), PRODUCT):
-                x, y = np.nonzero(one @ dense(right[j : j + PRODUCT]).T >= least - 1e-4)
-                p, q = docs[left[i + x]], docs[right[j + y]]
-                keep = p < q if a == b and i == j else p != q
-                found.append((np.minimum(p, q)[keep], np.maximum(p, q)[keep]))
-        pairs = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    met = groups.select("doc", "c", "w", "_own", "_a", "_b").groupBy("_a", "_b").applyInArrow(close, "a bigint, b bigint")
-    left = met.join(v.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")), "a")
-    dots = left.join(v.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return dots.where(F.col("cosine") >= least)
+    each = weights.select("doc", F.xxhash64("term").alias("h"), "w")
+    shared = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    rows = each.groupBy("doc").agg(F.collect_list(F.struct("h", "w")).alias("x")).select("doc", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
+    return bags.alike(bags.in_blocks(rows, bags.dictionary(shared)), least)
 
 
 def hashed(items: Column) -> Column:
