@@ -23,7 +23,7 @@ def spent(spark, tmp_path):
         for i in range(notes):
             fresh = [f"w{rng.randrange(3000)}" for _ in range(length)]
             text = fresh if i % 4 else [a if rng.random() < 0.9 else b for a, b in zip(text or fresh, fresh, strict=True)]
-            row = {"note_id": i, "author": f"a{i % 3}", "domain": "d", "body": " ".join(text), "kb_summary": " ".join(text[:12])}
+            row = {"note_id": i, "author": "a", "domain": "d", "body": " ".join(text), "kb_summary": " ".join(text[:12])}
             rows.append(tuple(row.get(c) for c in names))
         spark.createDataFrame(rows, NOTE).write.parquet(f"{tmp_path}/note_record.parquet")
         java = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
@@ -36,7 +36,7 @@ def spent(spark, tmp_path):
     return of
 
 
-@pytest.mark.parametrize("query", ["cosine_pairs"])
+@pytest.mark.parametrize("query", ["cosine_pairs", "link_gate"])
 def test_alike_notes_take_little_disk(spent, query):
     found, share = spent(query)
-    assert len(found) >= 400 and share < 4
+    assert len(found) >= 300 and share < 4
