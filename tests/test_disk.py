@@ -36,7 +36,7 @@ def spent(spark, tmp_path):
     return of
 
 
-@pytest.mark.parametrize("query", ["cosine_pairs", "link_gate", "related_band"])
+@pytest.mark.parametrize("query", ["cosine_pairs", "link_gate", "related_band", "triage_score"])
 def test_alike_notes_take_little_disk(spent, query):
     found, share = spent(query)
     assert len(found) >= 300 and share < 4
