@@ -40,3 +40,9 @@ def spent(spark, tmp_path):
 def test_alike_notes_take_little_disk(spent, query):
     found, share = spent(query)
     assert len(found) >= 300 and share < 4
+
+
+@pytest.mark.parametrize("query", ["importance_bumps"])
+def test_nearest_notes_take_little_disk(spent, query):
+    found, share = spent(query)
+    assert len(found) >= 8 and share < 2
