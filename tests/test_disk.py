@@ -42,7 +42,7 @@ def test_alike_notes_take_little_disk(spent, query):
     assert len(found) >= 300 and share < 4
 
 
-@pytest.mark.parametrize("query", ["importance_bumps", "knn_notes"])
+@pytest.mark.parametrize("query", ["importance_bumps", "knn_notes", "summary_hits"])
 def test_nearest_notes_take_little_disk(spent, query):
     found, share = spent(query)
     assert len(found) >= 8 and share < 2
