@@ -35,7 +35,7 @@ def left(spark, tmp_path):
     return of
 
 
-@pytest.mark.parametrize("query", ["link_gate"])
+@pytest.mark.parametrize("query", ["link_gate", "related_band"])
 def test_pairs_and_texts_are_neither_stored_nor_shuffled(left, query):
     found, share = left(query)
     assert len(found) >= 50 and share < 1.5
