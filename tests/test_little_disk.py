@@ -66,3 +66,9 @@ def test_one_file_is_shared_out_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.note_id or 0, r.body) for r in df.collect()) == [(i or 0, t) for i, t in rows]
+
+
+@pytest.mark.parametrize("query", ["knn_notes"])
+def test_searches_shuffle_no_texts(left, query):
+    found, share = left(query)
+    assert len(found) >= 30 and share < 3
