@@ -68,7 +68,7 @@ def test_one_file_is_shared_out_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert sorted((r.note_id or 0, r.body) for r in df.collect()) == [(i or 0, t) for i, t in rows]
 
 
-@pytest.mark.parametrize("query", ["knn_notes"])
+@pytest.mark.parametrize("query", ["knn_notes", "summary_hits"])
 def test_searches_shuffle_no_texts(left, query):
     found, share = left(query)
     assert len(found) >= 30 and share < 3
